@@ -6,7 +6,10 @@ Column rule of every operator here: result columns replace input columns of the
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -28,6 +31,26 @@ def checkpoint_root(spark: SparkSession) -> str:
     return (root or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints").rstrip("/")
 
 
+_shipped: set[str] = set()
+
+
+def arrow_map(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """df.mapInArrow, once executors can import this package: Spark ships it where PYTHONPATH doesn't name it."""
+    context = df.sparkSession.sparkContext
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    root = os.path.dirname(package)
+    if context.applicationId not in _shipped and root not in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        archive = os.path.join(tempfile.mkdtemp(), os.path.basename(package) + ".zip")
+        with zipfile.ZipFile(archive, "w") as z:
+            for folder, _, files in os.walk(package):
+                for f in files:
+                    if f.endswith(".py"):
+                        z.write(os.path.join(folder, f), os.path.relpath(os.path.join(folder, f), root))
+        context.addPyFile(archive)
+    _shipped.add(context.applicationId)
+    return df.mapInArrow(run, schema)
+
+
 def stash(df: DataFrame) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage ends there and lost executors cost nothing."""
     path = f"{checkpoint_root(df.sparkSession)}/stash-{uuid.uuid4().hex}"
@@ -73,7 +96,7 @@ def map_texts(df: DataFrame, text: str, result: StructType, make: Callable[[], C
                 cols = [b.column(i) for i in keep_at] + compute(b.column(text_at))
                 yield pa.RecordBatch.from_arrays([c if c.type == f.type else c.cast(f.type) for c, f in zip(cols, to, strict=True)], schema=to)
 
-    return df.mapInArrow(run, schema)
+    return arrow_map(df, run, schema)
 
 
 def encoded(texts: pa.Array) -> list[bytes]:

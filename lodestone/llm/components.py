@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import stash
+from lodestone.llm.common import arrow_map, stash
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,7 +60,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Edges may repeat, point either way or be loops. Nodes without a smaller one in reach have no row.
     """
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v")
-    e = stash(e.mapInArrow(_shrink, "u long, v long"))
+    e = stash(arrow_map(e, _shrink, "u long, v long"))
     mark = None
     for _ in range(rounds):
         seen = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

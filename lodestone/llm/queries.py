@@ -8,13 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, mixing, sharding, simhash
+from lodestone.llm import bpe, divergence, licences, mixing, ordinal, sharding, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return ordinal.score(docs.select("doc_id", "text"), ordinal.train(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     crc = F.crc32(F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")))
@@ -22,6 +27,14 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def op6_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), keep=["doc_id"])
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(table(spark, sf_dir, "documents"))
 
@@ -35,9 +48,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ordinal": op1_ordinal,
     "op4_sharding": op4_sharding,
+    "op5_licences": op5_licences,
+    "op6_divergence": op6_divergence,
     "op7_mixing": op7_mixing,
     "op8_simhash": op8_simhash,
     "op10_bpe": op10_bpe,
 }
-ORACLES: dict[str, str] = {"op7_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op5_licences": licences.ORACLE, "op7_mixing": mixing.ORACLE}

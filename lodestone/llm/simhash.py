@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from lodestone.llm.common import free_name, map_texts, small, stash
+from lodestone.llm.common import arrow_map, free_name, map_texts, small, stash
 from lodestone.llm.components import components, forest
 
 #: Bits of the three coarse segments, each cut into three finer ones.
@@ -167,7 +167,7 @@ def links(prints: DataFrame, most: int = MOST_BITS) -> DataFrame:
         yield from flush()
 
     met = homes.unionByName(asks.select("fp", "cell", "move", "block")).repartition("cell", "block").sortWithinPartitions("cell", "block", "move")
-    return met.select("fp", "cell", "move", "block").mapInArrow(run, "u long, v long")
+    return arrow_map(met.select("fp", "cell", "move", "block"), run, "u long, v long")
 
 
 def classes(df: DataFrame, text: str = "text", ident: str = "doc_id", words: int = WORDS, most: int = MOST_BITS, seed: int = SEED, keep: list[str] | None = None) -> DataFrame:
