@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, divergence, licences, mixing, ordinal, sharding, simhash
+from lodestone.llm import backoff, bpe, divergence, licences, mixing, ordinal, sharding, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(table(spark, sf_dir, "documents"), keep=["doc_id"]).select("doc_id", "fingerprint", "component_id")
 
 
+def op9_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff.score(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=["doc_id"])
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_divergence": op6_divergence,
     "op7_mixing": op7_mixing,
     "op8_simhash": op8_simhash,
+    "op9_backoff": op9_backoff,
     "op10_bpe": op10_bpe,
 }
-ORACLES: dict[str, str] = {"op5_licences": licences.ORACLE, "op7_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op5_licences": licences.ORACLE, "op7_mixing": mixing.ORACLE, "op9_backoff": backoff.ORACLE}
