@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import backoff, bpe, divergence, licences, mixing, ordinal, sharding, simhash
+from lodestone.llm import backoff, bpe, divergence, embeddings, licences, mixing, ordinal, sharding, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op1_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal.score(docs.select("doc_id", "text"), ordinal.train(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
 
 
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.link(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     crc = F.crc32(F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")))
@@ -53,6 +57,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ordinal": op1_ordinal,
+    "op3_embeddings": op3_embeddings,
     "op4_sharding": op4_sharding,
     "op5_licences": op5_licences,
     "op6_divergence": op6_divergence,
@@ -61,4 +66,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_backoff": op9_backoff,
     "op10_bpe": op10_bpe,
 }
-ORACLES: dict[str, str] = {"op5_licences": licences.ORACLE, "op7_mixing": mixing.ORACLE, "op9_backoff": backoff.ORACLE}
+ORACLES: dict[str, str] = {"op3_embeddings": embeddings.ORACLE, "op5_licences": licences.ORACLE, "op7_mixing": mixing.ORACLE, "op9_backoff": backoff.ORACLE}
