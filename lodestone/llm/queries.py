@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import backoff, bpe, divergence, embeddings, licences, mixing, ordinal, sharding, simhash
+from lodestone.llm import backoff, bpe, divergence, embeddings, licences, mixing, ordinal, sharding, simhash, suffixes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op1_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal.score(docs.select("doc_id", "text"), ordinal.train(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
 
 
+def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+
+
 def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.link(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
 
@@ -57,6 +61,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ordinal": op1_ordinal,
+    "op2_suffixes": op2_suffixes,
     "op3_embeddings": op3_embeddings,
     "op4_sharding": op4_sharding,
     "op5_licences": op5_licences,
