@@ -23,7 +23,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, Stri
 from lodestone.llm.common import map_texts
 
 #: Entries after which a worker's memo of pre-tokens or pairs starts anew; only speed depends on them.
-WORD_MEMO, PAIR_MEMO = 150_000, 400_000
+WORD_MEMO, PAIR_MEMO = 100_000, 250_000
 
 
 def read_ranks(raw: bytes) -> dict[bytes, int]:

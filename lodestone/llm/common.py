@@ -6,6 +6,8 @@ Column rule of every operator here: result columns replace input columns of the
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -48,7 +50,21 @@ def arrow_map(df: DataFrame, run: Callable, schema) -> DataFrame:
                         z.write(os.path.join(folder, f), os.path.relpath(os.path.join(folder, f), root))
         context.addPyFile(archive)
     _shipped.add(context.applicationId)
-    return df.mapInArrow(run, schema)
+
+    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(trimmed, schema)
+
+
+def release() -> None:
+    """Give freed memory back to the system: workers outlive their tasks, and an executor's limit holds for all of them."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries lack it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def stash(df: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ GRADES, STEPS, RATE, PENALTY = 3, 400, 0.1, 1e-5
 #: standard errors below the mean of all: a good document is one without evidence against it, and rare
 #: words aren't learnt by heart.
 LEAST_ROWS, LEAST_Z = 5, 3.5
-MEMO = 200_000
+MEMO = 100_000
 
 
 def _kind(c: str) -> str:
@@ -75,14 +75,22 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades:
     w, raw = np.zeros(SIZE), np.concatenate([[-1.0], np.zeros(n_grades - 2)])
     if not rows:
         return w, _ordered(raw)
-    doc = np.repeat(np.arange(len(rows)), [len(i) for i, _ in rows])
-    index, value = np.concatenate([i for i, _ in rows]), np.concatenate([v for _, v in rows])
     y = np.asarray(grades)
-    n = np.bincount(index, value, SIZE)
-    n_squared = np.bincount(index, value * value, SIZE)
-    off = np.bincount(index, value * (y - y.mean())[doc], SIZE)  # a weighted sum; its variance is var(y) * sum of squares
-    telling = (np.bincount(index, minlength=SIZE) >= least_rows) & (off <= -least_z * y.std() * np.sqrt(n_squared)) & (n > 0)
-    doc, index, value = doc[telling[index]], index[telling[index]], value[telling[index]]
+    off, spread = y - y.mean(), y.std()
+    seen, lower, squares = np.zeros(SIZE), np.zeros(SIZE), np.zeros(SIZE)
+    blocks = [(lo, min(lo + 256, len(rows))) for lo in range(0, len(rows), 256)]
+
+    def block(lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.repeat(np.arange(lo, hi), [len(i) for i, _ in rows[lo:hi]]), np.concatenate([i for i, _ in rows[lo:hi]]), np.concatenate([v for _, v in rows[lo:hi]]).astype(float)
+
+    for lo, hi in blocks:
+        doc, index, value = block(lo, hi)
+        seen += np.bincount(index, minlength=SIZE)
+        lower += np.bincount(index, value * off[doc], SIZE)  # its variance is that of the grades times the sum of squares
+        squares += np.bincount(index, value * value, SIZE)
+    telling = (seen >= least_rows) & (lower <= -least_z * spread * np.sqrt(squares)) & (squares > 0)
+    parts = [(doc[telling[index]], index[telling[index]], value[telling[index]]) for doc, index, value in (block(lo, hi) for lo, hi in blocks)]
+    doc, index, value = (np.concatenate(x) for x in zip(*parts, strict=True))
     used, at = np.unique(index, return_inverse=True)
     own = np.zeros(len(used))
     share = (1 / np.bincount(y, minlength=n_grades).clip(1))[y]  # grades weigh alike, however rare one is
@@ -137,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", ident: str = "
 
     got = arrow_map(rows.select("id", "text", "grade"), run, "id long, grade int, i binary, v binary").collect()
     got = sorted(got, key=lambda r: (r.id, r.grade, bytes(r.i)))
-    return fit([(np.frombuffer(r.i, np.int32), np.frombuffer(r.v, np.float32).astype(float)) for r in got], np.array([r.grade for r in got], int), **options)
+    return fit([(np.frombuffer(r.i, np.int32), np.frombuffer(r.v, np.float32)) for r in got], np.array([r.grade for r in got], int), **options)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "text", least: float = 0.5, keep: list[str] | None = None) -> DataFrame:

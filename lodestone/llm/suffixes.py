@@ -30,9 +30,9 @@ from lodestone.llm.common import Rolling, arrow_map, flat, free_name, other_fiel
 
 WINDOW, SEED_BYTES = 100, 32
 #: Bytes of text whose strings a task compares before it sends any; texts are hashed in slices.
-CHUNK_BYTES, SLICE = 16 << 20, 1 << 20
+CHUNK_BYTES, SLICE = 12 << 20, 1 << 20
 #: Bytes of text per bucket of minimisers, and bytes of strings that enter one construction together.
-BUCKET_BYTES, BATCH_BYTES = 32 << 20, 256 << 10
+BUCKET_BYTES, BATCH_BYTES = 16 << 20, 256 << 10
 #: Bytes of a sequential file that stay in memory before it goes to disk.
 SPOOL = 32 << 20
 #: Marks that a string has no further symbol; UTF-8 never has this byte.
