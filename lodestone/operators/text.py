@@ -22,7 +22,9 @@ def tokens(text: Column) -> Column:
     runs = F.regexp_extract_all(text, F.lit(_RUN), F.lit(1))
     pairs = lambda r: F.when(F.char_length(r) == 1, F.array(r)).otherwise(F.transform(F.sequence(F.lit(1), F.char_length(r) - 1), lambda i: F.substring(r, i, F.lit(2))))
     one = lambda r: F.when(r.rlike(f"^[{CJK}]"), pairs(r)).when(F.char_length(r) >= 2, F.array(F.lower(r))).otherwise(F.array().cast("array<string>"))
-    return F.flatten(F.transform(runs, one))
+    # texts without such scripts need no look at each run
+    plain = F.transform(F.regexp_extract_all(text, F.lit(r"[\p{IsAlphabetic}\p{N}]{2,}"), F.lit(0)), F.lower)
+    return F.when(text.rlike(f"[{CJK}]"), F.flatten(F.transform(runs, one))).otherwise(plain)
 
 
 def postings(df: DataFrame, fields: tuple[str, ...], key: str = "key") -> DataFrame:
