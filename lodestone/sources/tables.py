@@ -50,7 +50,8 @@ def dump(df: DataFrame) -> DataFrame:
 
 def load(lines: DataFrame) -> DataFrame:
     """dump() lines in any order -> (key, fields, expire_at); of a field set twice in one line the last counts."""
-    args = F.from_json(F.concat(F.lit("["), F.regexp_replace(F.regexp_extract("value", r"^\S+ (.*)$", 1), r'("(?:[^"\\]|\\.)*"|[0-9]+) (?=["0-9])', "$1,"), F.lit("]")), "array<string>")
+    words = F.regexp_extract_all(F.regexp_extract("value", r"^\S+ (.*)$", 1), F.lit(r'"(?:[^"\\]|\\.)*"|[0-9]+'), F.lit(0))
+    args = F.from_json(F.concat(F.lit("["), F.array_join(words, ","), F.lit("]")), "array<string>")
     rows = lines.select(F.split_part("value", F.lit(" "), F.lit(1)).alias("verb"), args.alias("a"))
     pairs = F.transform(F.sequence(F.lit(1), F.size("a") - 2, F.lit(2)), lambda i: F.struct(F.get("a", i).alias("key"), F.get("a", i + 1).alias("value")))
     rows = rows.select("verb", F.get("a", F.lit(0)).alias("key"), F.when(F.col("verb") == "HSET", F.map_from_entries(pairs)).alias("f"), F.when(F.col("verb") == "PEXPIREAT", F.get("a", F.lit(1)).cast("long")).alias("e"))
