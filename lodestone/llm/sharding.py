@@ -45,9 +45,9 @@ def assign(df: DataFrame, ident: str = "doc_id", size: str | None = None, text:
     bucket = F.pmod(F.xxhash64(F.lit(seed + 1), *rows.columns), F.lit(per_shard)).cast("int")
     # pass 1: one partition a bucket number; the count is given, so Spark keeps it and reruns agree
     scattered = rows.select(F.struct(*rows.columns).alias(rec), shard.alias("shard"), bucket.alias("bucket")).repartition(shards * per_shard, "shard", "bucket")
-    # pass 2: sort_array makes the order before the shuffle independent of arrival
-    buckets = scattered.groupBy("shard", "bucket").agg(F.shuffle(F.sort_array(F.collect_list(rec)), seed).alias(rec))
-    buckets = stash(buckets.withColumn(n, F.size(rec)))
+    # pass 2: arrays and buckets are sorted first, as the shuffle draws from one sequence a partition; so arrival decides nothing
+    buckets = scattered.groupBy("shard", "bucket").agg(F.sort_array(F.collect_list(rec)).alias(rec)).sortWithinPartitions("shard", "bucket")
+    buckets = stash(buckets.select("shard", "bucket", F.shuffle(rec, seed).alias(rec)).withColumn(n, F.size(rec)))
     heads = stash(buckets.select("shard", "bucket", (F.sum(n).over(Window.partitionBy("shard").orderBy("bucket")) - F.col(n)).alias(first)))
     placed = buckets.drop(n).join(small(heads, 32), ["shard", "bucket"]).select("shard", "bucket", first, F.posexplode(rec).alias("pos", rec))
     out = placed.select(f"{rec}.*", "shard", "bucket", (F.col(first) + F.col("pos")).cast("long").alias("slot"))

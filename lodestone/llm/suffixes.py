@@ -124,6 +124,9 @@ def _parts(window: int, k: int, n_buckets: int):
 
         def flush() -> Iterator[pa.RecordBatch]:
             ids, marks, start, n, seed, string = (np.concatenate([h[i] for h in held]) for i in range(6))
+            held.clear()
+            if not len(ids):
+                return
             rank = _ranks(ids, marks)
             order, new, _ = _first_copies(seed, string, rank << 32 | start)
             copies, firsts = order[~new], order[new]
@@ -142,7 +145,6 @@ def _parts(window: int, k: int, n_buckets: int):
                             [pa.array([int(b[lo])], pa.int32()), one(ids[w][at], pa.int64()), one(marks[w][at], pa.int64()), one(doc, pa.int32()), one(start[w], pa.int32()), one(n[w], pa.int32()), one(seed[w][: 0 if settled else None].view(np.int64), pa.int64()), one(string[w][: 0 if settled else None].view(np.int64), pa.int64())],
                             names=["bucket", "ids", "marks", "doc", "start", "n", "seed", "string"],
                         )
-            held.clear()
 
         for b in batches:
             all_ids, all_marks = b.column(0).to_numpy(), b.column(1).to_numpy()
