@@ -22,8 +22,8 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, Stri
 
 from lodestone.llm.common import map_texts
 
-#: Entries after which a worker's memo of pre-tokens or pairs starts anew; only speed depends on them.
-WORD_MEMO, PAIR_MEMO = 100_000, 250_000
+#: Entries after which a worker's memo of pre-tokens (two halves) or pairs starts anew; only speed depends on them.
+WORD_MEMO, PAIR_MEMO = 75_000, 250_000
 
 
 def read_ranks(raw: bytes) -> dict[bytes, int]:
@@ -45,6 +45,7 @@ class Codec:
         self.parts: dict[int, tuple[int, int]] = {}
         self.pairs: dict[int, bool] = {}
         self.words: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def halves(self, token: int) -> tuple[int, int]:
         """The two tokens whose merge makes this one; a single byte gives itself twice."""
@@ -137,10 +138,14 @@ class Codec:
         for piece in self.find(text):
             known = get(piece)
             if known is None:
-                if len(words) >= WORD_MEMO:
-                    words.clear()
-                known = self.word(piece)
+                known = self.older.get(piece)
+                if known is None:
+                    known = self.word(piece)
                 if len(piece) <= 64:
+                    if len(words) >= WORD_MEMO:  # frequent pre-tokens come back from the older half
+                        self.older, self.words = words, {}
+                        words = self.words
+                        get = words.get
                     words[piece] = known
             extend(known)
         return ids
