@@ -67,9 +67,24 @@ def release() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+_folders: dict[str, str] = {}
+
+
+def _folder(spark: SparkSession) -> str:
+    """This application's folder under the shared one; Hadoop deletes it when the application ends."""
+    context = spark.sparkContext
+    if context.applicationId not in _folders:
+        _folders[context.applicationId] = f"{checkpoint_root(spark)}/lodestone-{context.applicationId}"
+        path = context._jvm.org.apache.hadoop.fs.Path(_folders[context.applicationId])
+        files = path.getFileSystem(context._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return _folders[context.applicationId]
+
+
 def stash(df: DataFrame) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage ends there and lost executors cost nothing."""
-    path = f"{checkpoint_root(df.sparkSession)}/stash-{uuid.uuid4().hex}"
+    path = f"{_folder(df.sparkSession)}/stash-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

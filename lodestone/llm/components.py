@@ -45,7 +45,8 @@ def _shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # written first: between a plain table and a table Spark can split the rows of a node with very many neighbours
+    least = stash(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     return both.join(least, "u").where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
@@ -67,5 +68,5 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if seen == mark or not seen[0]:
             return e
         mark = seen
-        e = stash(_small_star(_large_star(e)))
+        e = stash(_small_star(stash(_large_star(e))))
     raise RuntimeError(f"components did not settle in {rounds} rounds")

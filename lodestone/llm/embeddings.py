@@ -136,8 +136,8 @@ def link(df: DataFrame, ident: str = "vec_id", vector: str = "embedding", label:
     found = stash(arrow_map(met, _products(threshold), "kind int, u long, v long"))
     sums = found.where("kind = 0").groupBy(F.col("u").alias("cid")).agg(F.sum("v").alias("more"))
     roots = components(found.where("kind = 1").select("u", "v")).select(F.col("u").alias("cid"), F.col("v").alias("root"))
-    named = classes.select("cid", "label", "embedding", "low", "n").join(sums, "cid", "left").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    least = named.groupBy("root").agg(F.min("low").alias("component"))
+    named = stash(classes.select("cid", "label", "embedding", "low", "n").join(sums, "cid", "left").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid")))
+    least = stash(named.groupBy("root").agg(F.min("low").alias("component")))  # a plain table, so that a large component can be split
     named = named.join(least, "root").select(F.struct("label", "embedding").alias(mark), "component", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("links"))
     named = named.select(F.col(mark + ".label").alias("l_"), F.col(mark + ".embedding").alias("e_"), F.col("component").alias("c_"), F.col("links").alias("n_"))
     named = named.toDF(*[free_name(rows, x) for x in ("l_", "e_", "c_", "n_")])

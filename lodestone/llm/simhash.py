@@ -186,8 +186,8 @@ def labelled(rows: DataFrame, fp: str, ident: str, low: str, most: int) -> DataF
     """Rows with fingerprints -> fingerprint and component_id appended, the bits dropped."""
     own = stash(rows.groupBy(F.col(fp).alias("fp")).agg(F.min(ident).alias("low")))
     roots = components(links(own.select("fp"), most)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
-    named = own.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("low").alias("component_id"))
+    named = stash(own.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root")))
+    least = stash(named.groupBy("root").agg(F.min("low").alias("component_id")))  # a plain table again, so that a large component can be split
     named = named.join(least, "root").select(F.col("fp").alias(low), F.col("component_id"))
     rows = rows.drop(*[c for c in rows.columns if c.lower() in ("fingerprint", "component_id")])
     hexed = F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
@@ -204,6 +204,6 @@ def near_duplicates_removed(df: DataFrame, text: str = "text", ident: str = "doc
     rows = stash(fingerprints(df.withColumn(mark, F.xxhash64(ident, text)), text, fp, words, seed, keep=[ident, mark]))
     named = labelled(rows, fp, ident, low, most)
     win = named.groupBy("component_id").agg(F.min(F.struct(F.col(ident).isNull(), F.col(ident).alias("i"), F.col(mark).alias("m"))).alias("w"))
-    win = stash(win.select(F.col("w.m").alias(low)).distinct())
-    kept = df.withColumn(mark, F.xxhash64(ident, text)).join(win, F.col(mark) == F.col(low), "left_semi")
-    return kept.dropDuplicates([mark]).select(*df.columns)
+    win = stash(win.select(F.col("w.m").alias(low), F.col("w.i").alias(fp)).distinct())
+    kept = df.withColumn(mark, F.xxhash64(ident, text)).join(win, (F.col(mark) == F.col(low)) & F.col(ident).eqNullSafe(F.col(fp)), "left_semi")
+    return kept.dropDuplicates([mark, ident]).select(*df.columns)
