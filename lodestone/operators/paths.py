@@ -153,3 +153,13 @@ def compose(df: DataFrame, table: Table, op: str, left: tuple[str, object, objec
     if cursor is not None:
         rows = rows.where(F.col("key") > cursor)
     return rows.orderBy("key").limit(limits(limit)[0])
+
+
+def explain(rows: DataFrame, table: Table, index: str) -> DataFrame:
+    """(path, kind, est_rows, plan) of a matched set, from Spark's plan and statistics; nothing runs."""
+    path = table.index(index)
+    plan = rows._jdf.queryExecution()
+    est = int(str(plan.optimizedPlan().stats().sizeInBytes())) // max(1, 16 * len(rows.columns))
+    pushed = [x.strip() for x in plan.executedPlan().toString().splitlines() if "PushedFilters" in x]
+    line = pushed[0][pushed[0].index("PushedFilters") :].split("ReadSchema")[0].rstrip(", ") if pushed else "no filter reaches the scan"
+    return rows.sparkSession.createDataFrame([(f"{table.name}.{path.name}", getattr(path, "kind", "orderpath"), est, line)], "path string, kind string, est_rows long, plan string")

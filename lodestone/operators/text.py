@@ -173,6 +173,20 @@ def match_texts(df: DataFrame, text: str, fields: tuple[str, ...], within: tuple
     return scored.groupBy("key").agg(F.aggregate(F.sort_array(F.collect_list(F.struct("term", score.alias("s")))), F.lit(0.0), lambda a, x: a + x["s"]).alias("score"))
 
 
+def claused(matched: DataFrame, df: DataFrame, filters: Column | None = None, sort: tuple[str, bool] | None = None, distinct: str | None = None, limit: int = LIMIT, offset: int = 0, key: str = "key") -> DataFrame:
+    """A page of matches with their rows: filtered, sorted by a column (missing last) or by score, one row a value of `distinct`."""
+    rows = df.join(matched, key)
+    rows = rows if filters is None else rows.where(filters)
+    order = [F.desc("score"), F.col(key)]
+    if sort:
+        order = [F.col(sort[0]).desc_nulls_last() if sort[1] else F.col(sort[0]).asc_nulls_last(), F.col(key)]
+    if distinct:
+        seat = F.row_number().over(Window.partitionBy(distinct, F.when(F.col(distinct).isNull(), F.col(key))).orderBy(*order))
+        rows = rows.withColumn("_seat", seat).where(F.col("_seat") == 1).drop("_seat")
+    rows = rows.orderBy(*order)
+    return (rows.offset(offset) if offset else rows).limit(max(1, min(limit, MOST_LIMIT)))
+
+
 def _tagged(terms: Column, field: str) -> Column:
     return F.transform(terms, lambda t: F.struct(F.lit(field).alias("field"), t.alias("term")))
 

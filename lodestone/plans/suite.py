@@ -916,3 +916,88 @@ def index_advise(spark, d):
     for _ in range(16):
         r.advise("orders", "o_orderpriority")
     return r.advice(spark)
+
+
+# ---- further verbs ----
+
+
+@query()
+def index_explain(spark, d):
+    return paths.explain(paths.scalar(orders(spark, d), ORDERS, "o_totalprice", 1000, 2000), ORDERS, "o_totalprice")
+
+
+@query(f"WITH {_POSTINGS}, {_bm25(chr(39).join(['term IN (', 'license', ', ', 'version', ')']))} SELECT key, lang, score FROM sc JOIN documents ON sc.key = 'documents:' || doc_id WHERE source <> 'src1' ORDER BY lang DESC, key LIMIT 30 OFFSET 3")
+def text_claused(spark, d):
+    docs = _docs(spark, d)
+    found = text.match_texts(docs, "license version", ("text",)).withColumn("score", F.round("score", 6))
+    return text.claused(found, docs.select("key", "lang", "source"), F.col("source") != "src1", ("lang", True), limit=30, offset=3).select("key", "lang", "score")
+
+
+@query(f"WITH {_POSTINGS}, {_bm25(chr(39).join(['term IN (', 'license', ')']))}, r AS (SELECT key, source, score, row_number() OVER (PARTITION BY source ORDER BY score DESC, key) AS seat FROM sc JOIN documents ON sc.key = 'documents:' || doc_id) SELECT key, source, score FROM r WHERE seat = 1 ORDER BY score DESC, key LIMIT 10")
+def text_distinct(spark, d):
+    docs = _docs(spark, d)
+    found = text.match_texts(docs, "license", ("text",)).withColumn("score", F.round("score", 6))
+    return text.claused(found, docs.select("key", "source"), distinct="source").select("key", "source", "score")
+
+
+@query(f"WITH {_ZSET}, r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score, member) - 1 AS r, count(*) OVER (PARTITION BY key) AS n FROM z) SELECT key, member, score FROM r WHERE NOT r BETWEEN 3 AND n - 4")
+def zset_remove_ranks(spark, d):
+    return zsets.without_ranks(_zset(spark, d), 3, -4)
+
+
+@query(f"WITH {_ZSET} SELECT key, member, score FROM z WHERE NOT (score >= 60000 AND score < 200000)")
+def zset_remove_scores(spark, d):
+    return zsets.without_scores(_zset(spark, d), 60000, "(200000")
+
+
+@query(f"WITH {_ZSET} SELECT count(*) FILTER (z.score < m.score OR (z.score = m.score AND z.member < m.member)) AS rank FROM z, (SELECT * FROM z WHERE key = 'O' AND member = (SELECT min(member) FROM z WHERE key = 'O')) m WHERE z.key = 'O'")
+def zset_rank_of(spark, d):
+    z = _zset(spark, d)
+    return zsets.rank_of(z, "O", z.where("key = 'O'").agg(F.min("member")).first()[0])
+
+
+@query(f"WITH {_LISTS} SELECT key, CAST(coalesce(list_position(items, 'click'), 0) - 1 AS INTEGER) AS at FROM l WHERE list_contains(items, 'click')")
+def list_positions(spark, d):
+    return lists.positions(_lists(spark, d), "click").where(F.size("positions") > 0).select("key", F.get("positions", 0).alias("at"))
+
+
+@query(f"WITH {_LISTS} SELECT key, array_to_string(['x'] || items[3:], ',') AS items FROM l WHERE len(items) > 2 UNION ALL SELECT key, 'x' FROM l WHERE 1 = 0")
+def list_push_pop(spark, d):
+    return lists.push(lists.pop(_lists(spark, d), 2)[1], ["x"], left=True).withColumn("items", F.array_join("items", ","))
+
+
+@query("SELECT 'customer:' || c_custkey AS key, CAST(CASE WHEN c_custkey % 2 = 0 THEN 400 ELSE -1 END AS BIGINT) AS visits, -2::BIGINT AS missing FROM customer")
+def hash_ttl(spark, d):
+    h = _hash(spark, d)
+    even = F.pmod(F.split_part("key", F.lit(":"), F.lit(2)).cast("long"), F.lit(2)) == 0
+    both = hashes.expire(h.where(even), 1000, ("visits",)).unionByName(hashes.persist(hashes.expire(h.where(~even), 1000, ("visits",)), ("visits",)))
+    return hashes.ttl(both, 600, "visits", "missing")
+
+
+@query(f"WITH {_STREAM}, m AS (SELECT min(ms) AS lo FROM s) SELECT ms, seq, event_id FROM s, m WHERE ms > lo OR (ms = lo AND seq > 0) ORDER BY ms, seq LIMIT 40")
+def stream_read(spark, d):
+    s = _stream(spark, d)
+    return entries.read(s, f"{s.agg(F.min('ms')).first()[0]}-0", 40).select("ms", "seq", "event_id")
+
+
+@query(f"WITH {_STREAM}, t AS (SELECT max(ms) AS now FROM s) SELECT 'c' || user_id % 4 AS consumer, ms, seq, now - ms AS idle FROM s, t WHERE event_id % 3 = 0 AND user_id % 4 = 2 AND now - ms >= 5000 ORDER BY ms, seq LIMIT 25")
+def group_idle(spark, d):
+    now = _stream(spark, d).agg(F.max("ms")).first()[0]
+    return entries.idle(entries.pending(_log(spark, d)), now, 5000, count=25, consumer="c2").select("consumer", "ms", "seq", "idle")
+
+
+@query("SELECT count(*) AS n FROM events WHERE event_id % 5 = 0")
+def stream_delete(spark, d):
+    s = _stream(spark, d)
+    return entries.delete(s, s.where("event_id % 5 <> 0")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT DISTINCT event_type AS key, CAST(user_id AS VARCHAR) AS member FROM events WHERE user_id % 3 <> 0")
+def set_remove(spark, d):
+    e = load(spark, d, "events").select(F.col("event_type").alias("key"), F.col("user_id").cast("string").alias("member"), "user_id")
+    return sets.remove(sets.add(e.where("user_id % 2 = 0").select("key", "member").distinct(), e), e.where("user_id % 3 = 0").select("key", "member").distinct())
+
+
+@query(f"WITH {_PLACES} SELECT member FROM p WHERE 2 * 6372797.560856::DOUBLE * asin(sqrt(sin(radians(lat - 10) / 2) ** 2)) <= 1000000 AND 2 * 6372797.560856::DOUBLE * asin(sqrt(cos(radians(lat)) ** 2 * sin(radians(lon - 20) / 2) ** 2)) <= 2000000")
+def geo_box(spark, d):
+    return geo.search(_places(spark, d), 20.0, 10.0, box=(4000, 2000), unit="km").select("member")
