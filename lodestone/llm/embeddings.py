@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import arrow_map, free_name, stash
+from lodestone.llm.common import arrow_map, free_name, small, stash
 from lodestone.llm.components import components, forest
 
 THRESHOLD, TILE = 0.98, 2048
@@ -121,9 +121,10 @@ def link(df: DataFrame, ident: str = "vec_id", vector: str = "embedding", label:
     cells = stash(arrow_map(classes.select("cid", "embedding"), _cells(width), "cid long, c1 int, c2 int"))
     where = ["label", "dim", "c1", "c2"]
     placed = classes.join(cells, "cid").withColumn("dim", F.size("embedding"))
-    counts = placed.groupBy(where).agg(F.ceil(F.count("*") / tile).cast("int").alias("parts"))
-    placed = placed.join(counts, where).withColumn("sub", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
-    tiles = stash(placed.groupBy(*where, "sub").agg(F.collect_list(F.struct("cid", "n", "embedding")).alias("rows")))
+    counts = stash(placed.groupBy(where).agg(F.ceil(F.count("*") / tile).cast("int").alias("parts")))
+    placed = placed.join(small(counts, 64), where).withColumn("sub", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
+    # dealt by tile, since the join's dealing by cell would bring all tiles of a hot cell into one task
+    tiles = stash(placed.repartition(*where, "sub").groupBy(*where, "sub").agg(F.collect_list(F.struct("cid", "n", "embedding")).alias("rows")))
     keys = tiles.select(*where, "sub")
     # half of the neighbouring cells; within a cell each pair of tiles once
     moves = F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y")) for a, b in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])
