@@ -204,6 +204,8 @@ def near_duplicates_removed(df: DataFrame, text: str = "text", ident: str = "doc
     rows = stash(fingerprints(df.withColumn(mark, F.xxhash64(ident, text)), text, fp, words, seed, keep=[ident, mark]))
     named = labelled(rows, fp, ident, low, most)
     win = named.groupBy("component_id").agg(F.min(F.struct(F.col(ident).isNull(), F.col(ident).alias("i"), F.col(mark).alias("m"))).alias("w"))
-    win = stash(win.select(F.col("w.m").alias(low), F.col("w.i").alias(fp)).distinct())
-    kept = df.withColumn(mark, F.xxhash64(ident, text)).join(win, (F.col(mark) == F.col(low)) & F.col(ident).eqNullSafe(F.col(fp)), "left_semi")
-    return kept.dropDuplicates([mark, ident]).select(*df.columns)
+    # one key column for the semi-join and for equal rows, so that texts are dealt once; nulls in a struct are equal
+    key = lambda h, i: F.struct(h.alias("h"), i.alias("i"))
+    win = stash(win.select(key(F.col("w.m"), F.col("w.i")).alias(low)).distinct())
+    kept = df.withColumn(mark, key(F.xxhash64(ident, text), F.col(ident))).join(win, F.col(mark) == F.col(low), "left_semi")
+    return kept.dropDuplicates([mark]).select(*df.columns)
