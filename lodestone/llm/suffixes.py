@@ -408,11 +408,11 @@ def repeats(df: DataFrame, text: str = "text", ident: str = "doc_id", window: in
     asked = arrow_map(docs.select(key, tag, body), _parts(window, seed_bytes, buckets), _REQUEST)
     # what is settled already goes anywhere; a bucket goes to one task
     spread = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64(F.element_at("ids", 1)), F.lit(buckets)).cast("int")).otherwise(F.col("bucket"))
-    replies = stash(arrow_map(asked.repartition(buckets, spread).sortWithinPartitions("bucket"), _compare, _REPLY))
+    replies = stash(arrow_map(asked.repartitionById(buckets, spread).sortWithinPartitions("bucket"), _compare, _REPLY))
     gathered = lambda d: d.groupBy(F.col("id").alias(key), F.col("mark").alias(tag)).agg(F.collect_list(F.struct("seed", "start", "n")).alias(parts))
     wanted = docs.join(gathered(replies.where("kind = 1")), [key, tag]).where(F.col(body).isNotNull()).select(key, tag, body, parts).dropDuplicates([key, tag]) if n != ids else docs.join(gathered(replies.where("kind = 1")), [key, tag]).select(key, tag, body, parts)
     cut = arrow_map(wanted, _cut(window, 4 * buckets), "bucket int, id array<long>, mark array<long>, seed array<long>, start array<int>, raw array<binary>")
-    more = arrow_map(cut.repartition(4 * buckets, "bucket").sortWithinPartitions("bucket"), _sort_suffixes(window), _REPLY)
+    more = arrow_map(cut.repartitionById(4 * buckets, F.col("bucket")).sortWithinPartitions("bucket"), _sort_suffixes(window), _REPLY)
     settled = gathered(replies.where("kind = 0").unionByName(more))
     joined = docs.join(settled, [key, tag], "left").select(*[F.col(f.name) for f in fields], body, parts)
     schema = StructType([*fields, *results])
