@@ -240,7 +240,7 @@ def score(df: DataFrame, text: str = "text", keep: list[str] | None = None, back
     shift = max(0, (max(1, rows * chunk_bytes // max(size, 1))).bit_length() - 1)
     # row numbers follow the order within a partition; their high bits number the chunks
     named = df.select(F.shiftright(F.monotonically_increasing_id(), shift).alias("chunk"), F.col(text).alias("text"), (F.struct(*[F.col(c) for c in fields]) if fields else F.struct(F.lit(0).alias("none"))).alias("rest"))
-    asked = arrow_map(named.select("chunk", "text"), _requests(n), _REQUEST).repartition(n, "bucket").sortWithinPartitions("bucket", "kind", "chunk")
+    asked = arrow_map(named.select("chunk", "text"), _requests(n), _REQUEST).repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", "kind", "chunk")
     told = arrow_map(asked, _answers(least_count), _REQUEST)
     rest = named.schema["rest"].dataType
     both = told.select("chunk", "kind", "bucket", "size", "body", F.lit(None).cast("string").alias("text"), F.lit(None).cast(rest).alias("rest")).unionByName(
