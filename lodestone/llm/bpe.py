@@ -22,7 +22,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, Stri
 
 from lodestone.llm.common import map_texts
 
-#: Entries after which a worker's memo of pre-tokens (two halves) or pairs starts anew; only speed depends on them.
+#: Entries of half a worker's memo of pre-tokens or pairs; a full half becomes the older one. Only speed depends on them.
 WORD_MEMO, PAIR_MEMO = 75_000, 250_000
 
 
@@ -44,6 +44,7 @@ class Codec:
         self.automaton.make_automaton()
         self.parts: dict[int, tuple[int, int]] = {}
         self.pairs: dict[int, bool] = {}
+        self.older_pairs: dict[int, bool] = {}
         self.words: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
 
@@ -62,9 +63,11 @@ class Codec:
         """Whether encoding the joined bytes of two tokens gives these two tokens again."""
         key = left << 32 | right
         if (known := self.pairs.get(key)) is None:
+            if (known := self.older_pairs.get(key)) is None:
+                known = self._undo(left, right)
             if len(self.pairs) >= PAIR_MEMO:
-                self.pairs.clear()
-            known = self.pairs[key] = self._undo(left, right)
+                self.older_pairs, self.pairs = self.pairs, {}
+            self.pairs[key] = known
         return known
 
     def _undo(self, left: int, right: int) -> bool:
