@@ -1,7 +1,7 @@
 """Licence scans by sentence rules (operator 5), DataFrame functions only.
 
-A text is cut into sentences; each one, normalised, is looked up among known licence sentences and becomes
-an identifier. The document's sequence of identifiers is then matched against ordered licence rules: a rule
+A text is normalised and the ends of its sentences are marked; each known licence sentence that stands between
+two ends, also over wrapped lines, becomes an identifier. The document's sequence of identifiers is then matched against ordered licence rules: a rule
 is a run of identifiers and the licence it shows, and what one rule has matched is spent for those after it.
 """
 
@@ -96,8 +96,8 @@ RULES: list[tuple[tuple[str, ...], str]] = [
     (("Unlicense",), "Unlicense"),
 ]
 
-#: Sentence ends: a line feed, or blanks after a stop.
-_END, _ODD = r"([.;:!?])[\x20\x09\x0B-\x0D]+", r"[^a-z0-9]+"
+#: Stops before blanks, which end a sentence as line feeds do; what is no letter, digit or mark of an end.
+_STOP, _ODD = r"[.;:!?][\x20\x09\x0B-\x0D]+", r"[^a-z0-9|\n]+"
 
 
 def _plain(sentence: str) -> str:
@@ -107,16 +107,23 @@ def _plain(sentence: str) -> str:
 KNOWN: dict[str, str] = {_plain(s): i for s, i in SENTENCES.items()}
 
 
-def sentences(text: Column) -> Column:
-    """Array of normalised sentences: ASCII letters and digits in lower case, one blank for all else."""
-    cut = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), _END, "$1\n"), "\n")
-    return F.transform(cut, lambda s: F.btrim(F.regexp_replace(F.lower(s), _ODD, " ")))
+#: A known sentence from one end to another. Ends inside it are passed over: its own stops, and line feeds of wrapped text.
+_ANY = r"(?<=[\n\f])(?:" + "|".join(k.replace(" ", r"[ \n]") for k in sorted(KNOWN, key=lambda k: (-len(k), k))) + r")(?=[\n\f])"
+
+
+def normalised(text: Column) -> Column:
+    """ASCII letters and digits in lower case, one blank for all else; LF for the end of a sentence, FF for blank lines, and one at either end."""
+    ends = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "|", "_"), _STOP, "|")
+    plain = F.regexp_replace(F.lower(ends), _ODD, " ")
+    plain = F.regexp_replace(plain, r"[ |]*\n[ |]*(?:\n[ |]*)+", "\f")
+    plain = F.regexp_replace(plain, r"[ |]*\n[ |]*| *\|[ |]*", "\n")
+    return F.concat(F.lit("\n"), F.btrim(plain, F.lit(" \n\f")), F.lit("\n"))
 
 
 def identifiers(text: Column) -> Column:
-    """Array of the identifiers of the known licence sentences of a text, in order."""
+    """Array of the identifiers of the known licence sentences of a text, in order; the longest where several begin."""
     known = F.create_map(*[F.lit(x) for pair in KNOWN.items() for x in pair])
-    return F.filter(F.transform(sentences(text), lambda s: known[s]), lambda i: i.isNotNull())
+    return F.transform(F.regexp_extract_all(normalised(text), F.lit(_ANY), F.lit(0)), lambda s: known[F.translate(s, "\n", " ")])
 
 
 def scan(df: DataFrame, text: str = "text") -> DataFrame:

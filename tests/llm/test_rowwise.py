@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 
 import numpy as np
 import public_tokenizers
@@ -151,6 +152,25 @@ def test_licences(spark, edge, empty):
     assert len(licences.scan(edge).collect()) == len(edge_rows()) and licences.scan(empty).count() == 0
 
 
+def test_every_licence_rule_fires(spark):
+    first = {}
+    for sentence, ident in licences.SENTENCES.items():
+        first.setdefault(ident, sentence)
+    rows, want = [], {}
+    for k, (ids, name) in enumerate(licences.RULES):
+        flat = [first[i] for i in ids]
+        wrapped = ["\n * ".join(textwrap.wrap(s, 30)) for s in flat]
+        for form, lines in enumerate((flat, wrapped)):
+            doc = 2 * k + form
+            rows.append((doc, "Some prose without a stop\n" + "\n".join(lines) + "\n\nMore prose: it goes on"))
+            want[doc] = (" ".join(ids), name, 0)
+    got = {r.doc_id: (r.licence_sentences, r.licences, r.n_unmatched) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(licences.RULES) == 34 and got == want
+    # a blank line, or words before or after in the same sentence, part a known sentence
+    none = spark.createDataFrame([(1, "Released under\n\nthe MIT License."), (2, "It is MIT License"), (3, "MIT License|x"), (4, "SPDX-License-Identifier: MIT or so")], "doc_id long, text string")
+    assert {r.licences for r in licences.scan(none).collect()} == {""}
+
+
 def fill(words, share=1.5, cap=2.0, weights=(5, 2, 1)):
     """Targets by dealing the excess again and again."""
     total = share * sum(words)
