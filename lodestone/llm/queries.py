@@ -29,10 +29,9 @@ def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    placed = sharding.assign(table(spark, sf_dir, "documents"))  # whole records; size and checksum are those of what the shards hold
     crc = F.crc32(F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")))
-    placed = sharding.assign(docs.select("doc_id", sharding.record_size(F.col("text")).alias("size"), crc.alias("text_crc32")), size="size")
-    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+    return placed.select("doc_id", sharding.record_size(F.col("text")).alias("size"), crc.alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
 def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import textwrap
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -228,6 +229,16 @@ def test_sharding(spark, sf, edge, empty, tmp_path):
     assert back.count() == docs.count() and back.select("shard").distinct().count() == 16
 
 
+def test_sharding_query_moves_whole_records(spark, sf, monkeypatch):
+    docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    want = {i: (len(t) + 1, zlib.crc32(t)) for i, t in docs.items()}
+    assert {r.doc_id: (r.size, r.text_crc32) for r in queries.op4_sharding(spark, sf).collect()} == want
+    assign, lost = sharding.assign, min(docs)
+    monkeypatch.setattr(sharding, "assign", lambda df, **k: assign(df, **k).withColumn("text", F.when(F.col("doc_id") != lost, F.col("text"))))
+    got = {r.doc_id: (r.size, r.text_crc32) for r in queries.op4_sharding(spark, sf).collect()}
+    assert got == want | {lost: (1, 0)}  # a text lost in a shard shows
+
+
 def test_queries_have_their_contract_columns(spark, sf):
     want = {
         "op1": {"doc_id", "expected_grade", "tail_probability", "kept"}, "op2": {"doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"}, "op3": {"vec_id", "n_links", "component_id", "kept"},
