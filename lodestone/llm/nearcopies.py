@@ -1,0 +1,147 @@
+"""Near copies by the Jaccard similarity of their word shingles, for stages that remove them.
+
+Texts with the same set of shingle hashes are one class. MinHash bands only propose: classes that share a band form a
+group, and in a group real similarities of whole sets are taken, never estimates. A pair is compared
+in vain at most; it is missed only if none of its bands agree (at similarity s: (1 - s ** ROWS) ** BANDS,
+which is 7e-10 at 0.8).
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
+
+from lodestone.llm.common import arrow_map, encoded, free_name, map_texts, mix, stash
+from lodestone.llm.components import components
+
+WORDS, SIMILARITY, SEED = 5, 0.8, 42
+BANDS, ROWS = 40, 4
+#: Shingles whose hashes are permuted at once.
+SLICE = 2048
+
+_ODD = np.random.default_rng(SEED).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+
+
+def shingles(text: bytes, words: int = WORDS, seed: int = SEED) -> np.ndarray:
+    """Ascending distinct hashes of the word shingles, as the fingerprints of operator 8 cut them; none for wordless texts."""
+    w = text.lower().split()
+    if not w:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(w)
+    if len(w) <= words:
+        return np.array([xxhash.xxh64_intdigest(joined, seed)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1)
+    starts = [0, *ends[: len(w) - words].tolist()]
+    stops = (ends[words - 1 :] - 1).tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[a:b], seed) for a, b in zip(starts, stops, strict=True)], np.uint64))
+
+
+def bands(h: np.ndarray) -> np.ndarray:
+    """A key for each band of the MinHash signature of a set."""
+    if not len(h):
+        return np.zeros(0, np.int64)
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for k in range(0, len(h), SLICE):
+        x = h[k : k + SLICE, None] * _ODD
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        low = np.minimum(low, x.min(axis=0))
+    key = np.arange(BANDS, dtype=np.uint64)
+    for column in low.reshape(BANDS, ROWS).T:
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + column)
+    return key.view(np.int64)
+
+
+def similar(sets: list[np.ndarray], least: float = SIMILARITY) -> Iterator[tuple[int, int]]:
+    """Pairs of sets that join the same ones as all pairs of similarity `least` or more do; sets already joined aren't compared again."""
+    size = np.array(list(map(len, sets)))
+    root = np.arange(len(sets))
+    every = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), size)
+    for a in range(len(sets) - 1):
+        able = root != root[a]
+        able[: a + 1] = False
+        able &= (size >= least * size[a] - 1e-9) & (size[a] >= least * size - 1e-9)
+        if not able.any():
+            continue
+        at = able[owner]
+        x, who = every[at], owner[at]
+        place = np.minimum(np.searchsorted(sets[a], x), size[a] - 1)
+        both = np.bincount(who[sets[a][place] == x], minlength=len(sets))
+        for b in np.flatnonzero(able & (both >= least * (size + size[a] - both) - 1e-9)).tolist():
+            if root[b] != root[a]:
+                root[root == root[b]] = root[a]
+                yield a, b
+
+
+def _links(least: float):
+    """(group, class, set) in order of group -> (u, v): classes that a real similarity joins."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            found = list(similar([np.frombuffer(raw, np.uint64) for _, raw in held], least))
+            if found:
+                ids = np.array([c for c, _ in held], np.int64)
+                u, v = np.array(found).T
+                yield pa.RecordBatch.from_arrays([pa.array(ids[u]), pa.array(ids[v])], names=["u", "v"])
+
+        for b in batches:
+            for group, cls, raw in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                if group != at:
+                    if held:
+                        yield from flush()
+                    at, held = group, []
+                held.append((cls, raw))
+        if held:
+            yield from flush()
+
+    return run
+
+
+def links(sets: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """(cls long, bands array of longs, hashes binary), a row for each class -> (u, v) that join classes of similarity `least` or more."""
+    keys = sets.select("cls", F.explode("bands").alias("band"))
+    groups = keys.groupBy("band").agg(F.sort_array(F.collect_list("cls")).alias("all")).where(F.size("all") > 1)
+    # near copies share many bands: each list of classes is taken once
+    groups = stash(groups.select(F.xxhash64("all").alias("group"), "all").dropDuplicates(["group"]))
+    members = groups.select("group", F.explode("all").alias("cls")).join(sets.select("cls", "hashes"), "cls")
+    met = members.select("group", "cls", "hashes").repartition("group").sortWithinPartitions("group", "cls")
+    return arrow_map(met, _links(least), "u long, v long")
+
+
+def removed(df: DataFrame, text: str = "text", ident: str = "doc_id", words: int = WORDS, least: float = SIMILARITY, seed: int = SEED) -> DataFrame:
+    """One row stays of those that similarities of `least` or more join, directly or over others: the one with the smallest id (nulls last), then the smallest text hash.
+
+    Null and wordless texts have the same, empty, set and are one class. Equal rows of the winning id and
+    text count as one.
+    """
+    cls, key, keys, raw = (free_name(df, x) for x in ("copy_class", "copy_key", "copy_bands", "copy_hashes"))
+
+    def make():
+        def run(texts: pa.Array) -> list[pa.Array]:
+            sets = [shingles(t, words, seed) for t in encoded(texts)]
+            ids = pa.array([xxhash.xxh64_intdigest(s.tobytes(), seed) for s in sets], pa.uint64())
+            return [pa.array(ids.to_numpy().view(np.int64)), pa.array([bands(s) for s in sets], pa.list_(pa.int64())), pa.array([s.tobytes() for s in sets], pa.binary())]
+
+        return run
+
+    result = StructType([StructField(cls, LongType())]).add(keys, ArrayType(LongType())).add(StructField(raw, BinaryType()))
+    marked = df.select(F.col(ident), F.col(text), F.struct(F.xxhash64(ident, text).alias("h"), F.col(ident).alias("i")).alias(key))
+    rows = stash(map_texts(marked, text, result, make, keep=[key]))
+    sets = stash(rows.select(F.col(cls).alias("cls"), F.col(keys).alias("bands"), F.col(raw).alias("hashes")).dropDuplicates(["cls"]))
+    roots = components(links(sets, least)).select(F.col("u").alias("cls"), F.col("v").alias("root"))
+    order = F.struct(F.col(f"{key}.i").isNull().alias("none"), F.col(f"{key}.i").alias("i"), F.col(f"{key}.h").alias("h"))
+    first = stash(rows.groupBy(F.col(cls).alias("cls")).agg(F.min(order).alias("w")))
+    win = first.join(roots, "cls", "left").groupBy(F.coalesce("root", "cls").alias("root")).agg(F.min("w").alias("w"))
+    win = stash(win.select(F.struct(F.col("w.h").alias("h"), F.col("w.i").alias("i")).alias(raw)))
+    kept = df.withColumn(key, F.struct(F.xxhash64(ident, text).alias("h"), F.col(ident).alias("i"))).join(win, F.col(key) == F.col(raw), "left_semi")
+    return kept.dropDuplicates([key]).select(*df.columns)

@@ -88,6 +88,38 @@ def test_simhash_edges(spark, edge, empty):
     assert simhash.classes(empty).count() == 0 and simhash.near_duplicates_removed(empty).count() == 0
 
 
+def slow_similar(rows):
+    """Pairs of ids whose texts have the same five-word shingles or a similarity of 0.8 or more."""
+    sets = {}
+    for i, text in rows:
+        w = (text or "").encode().lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    ids = sorted(sets)
+    return [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
+
+
+def test_near_copies_by_hand(spark, sf, edge, empty):
+    rng = random.Random(11)
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()]
+    for _ in range(25):
+        base = [f"w{rng.randrange(400)}" for _ in range(rng.randint(5, 300))]
+        for changes in (0, 1, 2, 4, 6, 9):
+            copy = list(base)
+            for k in rng.sample(range(len(base)), min(len(base), changes)):
+                copy[k] = f"x{rng.randrange(10_000)}"
+            texts.append(" ".join(copy))
+    rows = list(enumerate([*texts, None, "", " \n", "one", "ONE ", "one two"]))
+    pairs = slow_similar(rows)
+    fps = {i: simhash.fingerprint((t or "").encode()) for i, t in rows}
+    assert sum((fps[a] ^ fps[b]).bit_count() > 3 for a, b in pairs) > 20  # three bits of a fingerprint would not do
+    top = roots(pairs, range(len(rows)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, sf).collect()) == sorted(i for i, r in top.items() if i == r)
+    kept = corpus_pipeline.near_duplicates(spark, edge, sf)
+    assert kept.columns == edge.columns and kept.where("doc_id = 6").count() == 1 and kept.where("doc_id in (3, 4)").count() == 0
+    assert corpus_pipeline.near_duplicates(spark, empty, sf).count() == 0
+
+
 def slow_repeats(rows, window):
     """(bytes, removed, spans, digest) of each (id, text), judged in order of id."""
     seen, out = set(), []
