@@ -5,11 +5,15 @@ the Manhattan distance of two count vectors is a lower bound of the Hamming dist
 therefore meet by a range join on a grid of the counts of three segments: each is resident in its own
 cell and asks at the cells within Manhattan distance 3 (half of them, as pairs are symmetric). In
 a cell, nine finer segments are joined in the same way by sorted keys, and what is left is verified exactly.
+
+near_copies_removed() is for stages that remove copies by real similarity of their shingle sets. Sets of similarity 0.8
+have fingerprints about ten bits apart and up to WIDE_BITS, where the segment counts no longer part
+anything; there fingerprints meet in blocks by min-wise shingle keys instead of in cells of the grid, and whole sets decide.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import product
 
@@ -18,9 +22,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from lodestone.llm.common import arrow_map, free_name, map_texts, small, stash
+from lodestone.llm.common import arrow_map, encoded, free_name, map_texts, mix, small, stash
 from lodestone.llm.components import components, forest
 
 #: Bits of the three coarse segments, each cut into three finer ones.
@@ -29,20 +33,33 @@ MOST_BITS, WORDS, SEED = 3, 3, 42
 #: Residents of a cell that a task holds at once; larger cells are dealt into blocks.
 BLOCK = 50_000
 
+#: Stages on word shingles: words, least similarity, and the most bits that the fingerprints of similar sets differ in.
+COPY_WORDS, SIMILARITY, WIDE_BITS = 5, 0.8, 26
+#: Keys a set has, and permutations that a key takes its least hashes from; sets of similarity s share none with probability (1 - s ** ROWS) ** KEYS.
+KEYS, ROWS = 32, 4
+#: Sets that a task compares with each other at once, and shingles whose hashes are permuted at once.
+COPY_BLOCK, SLICE = 2048, 2048
 
-def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
-    """SimHash of the word shingles (repeats count); bytes.lower() and split() touch ASCII letters and blanks only."""
+_ODD = np.random.default_rng(SEED).integers(1, 1 << 63, KEYS * ROWS, dtype=np.uint64) | np.uint64(1)
+
+
+def shingle_hashes(text: bytes, words: int = WORDS, seed: int = SEED) -> np.ndarray:
+    """Hash of each word shingle, repeats included; bytes.lower() and split() touch ASCII letters and blanks only."""
     w = text.lower().split()
     if not w:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(w)
+    digest = xxhash.xxh64_intdigest
     if len(w) <= words:
-        return xxhash.xxh64_intdigest(joined, seed)
+        return np.array([digest(joined, seed)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1)
     starts = [0, *ends[: len(w) - words].tolist()]
     stops = (ends[words - 1 :] - 1).tolist()
-    digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[a:b], seed) for a, b in zip(starts, stops, strict=True)], np.uint64)
+    return np.array([digest(joined[a:b], seed) for a, b in zip(starts, stops, strict=True)], np.uint64)
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that over half of the hashes have; 0 for none."""
     ones = np.zeros(64, np.int64)
     for k in range(0, len(h), 1 << 16):
         part = np.unpackbits(h[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -50,6 +67,11 @@ def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
     return int(((ones * 2 > len(h)).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(dtype=np.uint64))
 
 
+def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
+    """SimHash of the word shingles, repeats included."""
+    return majority(shingle_hashes(text, words, seed))
+
+
 def fingerprints(df: DataFrame, text: str = "text", out: str = "simhash", words: int = WORDS, seed: int = SEED, keep: list[str] | None = None) -> DataFrame:
     """Append the 64-bit fingerprint as a signed long. Null or wordless text: 0."""
 
@@ -194,18 +216,183 @@ def labelled(rows: DataFrame, fp: str, ident: str, low: str, most: int) -> DataF
     return rows.join(named, F.col(fp) == F.col(low)).withColumn("fingerprint", hexed).select(*[c for c in rows.columns if c != fp], "fingerprint", "component_id")
 
 
-def near_duplicates_removed(df: DataFrame, text: str = "text", ident: str = "doc_id", words: int = WORDS, most: int = MOST_BITS, seed: int = SEED) -> DataFrame:
-    """One row of each component stays: the one with the smallest id (nulls last), then the smallest text hash.
+# ---- near copies by real similarity ----
+
+
+def set_keys(h: np.ndarray) -> np.ndarray:
+    """Min-wise keys of a set of hashes; none for the empty set."""
+    if not len(h):
+        return np.zeros(0, np.int64)
+    low = np.full(KEYS * ROWS, np.iinfo(np.uint64).max)
+    for k in range(0, len(h), SLICE):
+        x = h[k : k + SLICE, None] * _ODD
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        low = np.minimum(low, x.min(axis=0))
+    key = np.arange(KEYS, dtype=np.uint64)
+    for column in low.reshape(KEYS, ROWS).T:
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + column)
+    return key.view(np.int64)
+
+
+def _spread(df: DataFrame, key: str, item: str, n: str) -> DataFrame:
+    """Rows with n, the number of rows of their key, dealt into blocks of COPY_BLOCK: home, the block of the row itself,
+    and block, each block from its own on, in which it is compared. So any two rows of a key meet in one block."""
+    blocks = F.ceil(F.col(n) / COPY_BLOCK).cast("int")
+    home = F.pmod(F.xxhash64(item), blocks).cast("int")
+    dealt = df.withColumn("home", home).withColumn("block", F.explode(F.sequence("home", blocks - 1)))
+    return dealt.repartition(key, "block").sortWithinPartitions(key, "block", item)
+
+
+def _by_group(columns: int, flush):
+    """An Arrow map over rows that come by their first two columns: flush gets the others of each group."""
 
-    Winners are found on (component, id, hash) by a two-step minimum; texts then pass a semi-join only.
-    Equal rows of the winning id and text count as one: of them a single row stays.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            u, v = flush(at[1], [pa.chunked_array([p.column(i) for p in held]) for i in range(2, columns)])
+            if len(u):
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+        for b in batches:
+            key, block = b.column(0).to_numpy(), b.column(1).to_numpy()
+            cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(block) != 0)) + 1 if len(key) else []
+            for lo, hi in zip([0, *cuts], [*cuts, len(key)], strict=True):
+                if hi == lo:
+                    continue
+                if at != (key[lo], block[lo]):
+                    if held:
+                        yield from done()
+                    at, held = (key[lo], block[lo]), []
+                held.append(b.slice(lo, hi - lo))
+        if held:
+            yield from done()
+
+    return run
+
+
+def _joined(n: int, home: np.ndarray, block: int, near) -> tuple[list[int], list[int]]:
+    """Pairs of places that join what all near pairs of a block join: two rows that live in it, or one with a row of an earlier one.
+    near(a, others) tells which of the others are near to a; what is joined already isn't asked again."""
+    root, own = np.arange(n), home == block
+    u: list[int] = []
+    v: list[int] = []
+    for a in np.flatnonzero(own).tolist():
+        able = root != root[a]
+        able[:a] &= ~own[:a]
+        others = np.flatnonzero(able)
+        if not len(others):
+            if (root == root[0]).all():
+                break
+            continue
+        for b in others[near(a, others)].tolist():
+            if root[b] != root[a]:
+                root[root == root[b]] = root[a]
+                u.append(a)
+                v.append(b)
+    return u, v
+
+
+def _meet(most: int):
+    """Blocks of one min-wise key -> (u, v): sets that fingerprints within `most` bits join."""
+
+    def flush(block: int, columns: list[pa.ChunkedArray]) -> tuple[np.ndarray, np.ndarray]:
+        home, cls, fp = (c.to_numpy() for c in columns)
+        fp = fp.view(np.uint64)
+        u, v = _joined(len(cls), home, block, lambda a, others: np.bitwise_count(fp[others] ^ fp[a]) <= most)
+        return cls[u], cls[v]
+
+    return _by_group(5, flush)
+
+
+def _alike(most: int, least: float):
+    """Blocks of candidates -> (u, v): sets that real similarities of `least` or more join."""
+
+    def flush(block: int, columns: list[pa.ChunkedArray]) -> tuple[np.ndarray, np.ndarray]:
+        home, cls, fp = (c.to_numpy() for c in columns[:3])
+        first = np.concatenate([[True], cls[1:] != cls[:-1]])  # equal rows give their set again
+        home, cls, fp = home[first], cls[first], fp[first].view(np.uint64)
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x, keep in zip(columns[3], first, strict=True) if keep]
+        size = np.array(list(map(len, sets)))
+
+        def near(a: int, others: np.ndarray) -> np.ndarray:
+            ok = (size[others] >= least * size[a] - 1e-9) & (size[a] >= least * size[others] - 1e-9)
+            ok &= np.bitwise_count(fp[others] ^ fp[a]) <= most
+            some = np.flatnonzero(ok)
+            if len(some):
+                who = others[some]
+                x = np.concatenate([sets[b] for b in who])
+                place = np.minimum(np.searchsorted(sets[a], x), size[a] - 1)
+                both = np.bincount(np.repeat(np.arange(len(who)), size[who])[sets[a][place] == x], minlength=len(who))
+                ok[some] = both >= least * (size[who] + size[a] - both) - 1e-9
+            return ok
+
+        u, v = _joined(len(cls), home, block, near)
+        return cls[u], cls[v]
+
+    return _by_group(6, flush)
+
+
+def _copy_links(sets: DataFrame, texts: Callable[[DataFrame], DataFrame], words: int, least: float, most: int, seed: int) -> DataFrame:
+    """(u, v) that join the classes which similarities of `least` or more join. sets: (cls, fp, keys); texts: wanted classes -> (cls, .., text)."""
+    keys = sets.select("cls", "fp", F.explode("keys").alias("key"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    met = _spread(keys.join(shared, "key"), "key", "cls", "n").select("key", "block", "home", "cls", "fp")
+    roots = components(arrow_map(met, _meet(most), "u long, v long"))
+    # candidates: whole connected sets of them, each with the number of its members
+    member = roots.select(F.col("u").alias("cls"), F.col("v").alias("root"))
+    member = stash(member.union(member.select(F.col("root").alias("cls"), "root").distinct()))
+    counts = stash(member.groupBy("root").agg(F.count("*").alias("n")))  # a plain table, so that a large one can be split
+    wanted = stash(member.join(counts, "root").join(sets.select("cls", "fp"), "cls"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [np.unique(shingle_hashes(t, words, seed)).tobytes() for t in encoded(b.column(4))]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(got, pa.binary())], names=["cls", "fp", "root", "n", "hashes"])
+
+    cut = arrow_map(texts(wanted).select("cls", "fp", "root", "n", "text"), run, "cls long, fp long, root long, n long, hashes binary")
+    met = _spread(cut, "root", "cls", "n").select("root", "block", "home", "cls", "fp", "hashes")
+    return arrow_map(met, _alike(most, least), "u long, v long")
+
+
+def near_copies_removed(df: DataFrame, text: str = "text", ident: str = "doc_id", words: int = COPY_WORDS, least: float = SIMILARITY, most: int = WIDE_BITS, seed: int = SEED) -> DataFrame:
+    """One row stays of those that Jaccard similarities of `least` or more between shingle sets join, directly or
+    over others: the one with the smallest id (nulls last), then the smallest text hash.
+
+    Fingerprints are those of the distinct shingles. Null and wordless texts have the same, empty, set and are one
+    class. Equal rows of the winning id and text count as one. Empty table: no rows. All columns pass unchanged.
     """
-    fp, low, mark = free_name(df, "fp_bits"), free_name(df, "fp_low"), free_name(df, "fp_mark")
-    rows = stash(fingerprints(df.withColumn(mark, F.xxhash64(ident, text)), text, fp, words, seed, keep=[ident, mark]))
-    named = labelled(rows, fp, ident, low, most)
-    win = named.groupBy("component_id").agg(F.min(F.struct(F.col(ident).isNull(), F.col(ident).alias("i"), F.col(mark).alias("m"))).alias("w"))
-    # one key column for the semi-join and for equal rows, so that texts are dealt once; nulls in a struct are equal
-    key = lambda h, i: F.struct(h.alias("h"), i.alias("i"))
-    win = stash(win.select(key(F.col("w.m"), F.col("w.i")).alias(low)).distinct())
-    kept = df.withColumn(mark, key(F.xxhash64(ident, text), F.col(ident))).join(win, F.col(mark) == F.col(low), "left_semi")
-    return kept.dropDuplicates([mark]).select(*df.columns)
+    cls, key, keys, fp = (free_name(df, x) for x in ("copy_class", "copy_key", "copy_keys", "copy_print"))
+    own_key = F.struct(F.xxhash64(ident, text).alias("h"), F.col(ident).alias("i"))
+
+    def make():
+        def run(texts: pa.Array) -> list[pa.Array]:
+            sets = [np.unique(shingle_hashes(t, words, seed)) for t in encoded(texts)]
+            ids = np.array([xxhash.xxh64_intdigest(s.tobytes(), seed) for s in sets], np.uint64)
+            return [pa.array(ids.view(np.int64)), pa.array(np.array([majority(s) for s in sets], np.uint64).view(np.int64)), pa.array([set_keys(s) for s in sets], pa.list_(pa.int64()))]
+
+        return run
+
+    result = StructType([StructField(cls, LongType()), StructField(fp, LongType()), StructField(keys, ArrayType(LongType()))])
+    rows = stash(map_texts(df.select(F.col(text), own_key.alias(key)), text, result, make, keep=[key]))
+    order = F.struct(F.col(f"{key}.i").isNull().alias("none"), F.col(f"{key}.i").alias("i"), F.col(f"{key}.h").alias("h"))
+    sets = rows.groupBy(F.col(cls).alias("cls")).agg(F.min(order).alias("w"), F.first(fp).alias("fp"), F.first(keys).alias("keys"))
+    sets = stash(sets.select("cls", F.struct(F.col("w.h").alias("h"), F.col("w.i").alias("i")).alias("w"), "fp", "keys"))
+
+    def texts(wanted: DataFrame) -> DataFrame:
+        """The text of a row of each wanted class, from the table itself."""
+        asked = stash(wanted.join(sets.select("cls", "w"), "cls"))
+        return df.select(own_key.alias(key), F.col(text).alias("text")).join(small(asked, 64), F.col(key) == F.col("w"))
+
+    roots = components(_copy_links(sets, texts, words, least, most, seed)).select(F.col("u").alias("cls"), F.col("v").alias("root"))
+    order = F.struct(F.col("w.i").isNull().alias("none"), F.col("w.i").alias("i"), F.col("w.h").alias("h"))
+    win = sets.select("cls", "w").join(roots, "cls", "left").groupBy(F.coalesce("root", "cls").alias("root")).agg(F.min(order).alias("o"))
+    again = rows.groupBy(F.col(key).alias("again")).agg(F.count("*").alias("n")).where("n > 1")
+    win = win.select(F.struct(F.col("o.h").alias("h"), F.col("o.i").alias("i")).alias("w"))
+    win = stash(win.join(again, F.col("w") == F.col("again"), "left").select("w", F.col("again").isNotNull().alias("often")))
+    marked = df.withColumn(key, own_key)
+    # only rows that stand in the table more than once are dealt for it
+    once = marked.join(small(win.where("not often"), 48), F.col(key) == F.col("w"), "left_semi")
+    one = marked.join(small(win.where("often"), 48), F.col(key) == F.col("w"), "left_semi").dropDuplicates([key])
+    return once.unionByName(one).select(*df.columns)
