@@ -212,18 +212,19 @@ def test_quantisation_bound():
     assert set(zip(i.tolist(), j.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(cos >= 0.98)), strict=True))
 
 
-def slow_scores(texts):
+def slow_scores(texts, order):
     words = [(t or "").encode().split() for t in texts]
-    one, two = Counter(w for d in words for w in d), Counter(p for d in words for p in zip(d, d[1:], strict=False))
-    n, out = sum(one.values()), []
+    tables = [Counter(tuple(d[i : i + k]) for d in words for i in range(len(d) - k + 1)) for k in range(1, order + 1)]
+    n, out = sum(tables[0].values()), []
     for d in words:
-        s = 0.0
-        for k, w in enumerate(d):
-            if k and two[d[k - 1], w] >= 2:
-                s += math.log(two[d[k - 1], w] / one[d[k - 1]])
-            else:
-                s += math.log(one[w] / n) + (math.log(0.4) if k else 0)
-        out.append((len(d), s))
+        s, single = 0.0, 0
+        for i, w in enumerate(d):
+            most = min(order, i + 1)
+            k = next((k for k in range(most, 1, -1) if tables[k - 1][tuple(d[i - k + 1 : i + 1])] >= 2), 1)
+            s += (most - k) * math.log(0.4)
+            s += math.log(tables[k - 1][tuple(d[i - k + 1 : i + 1])] / tables[k - 2][tuple(d[i - k + 1 : i])]) if k > 1 else math.log(tables[0][w,] / n)
+            single += k == 1
+        out.append((len(d), single, s))
     return out
 
 
@@ -231,12 +232,12 @@ def test_backoff_by_hand(spark, edge, empty):
     rng = random.Random(12)
     texts = [" ".join(rng.choices(["the", "of", "a", "rust", "é", "x,"], k=rng.randint(0, 50))) for _ in range(150)] + [None, "", " \x0b", "\x85one"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    want = slow_scores(texts)
-    for d, chunk in ((df.repartition(3), 1 << 24), (df, 300)):
-        got = {r.doc_id: r for r in backoff.score(d, chunk_bytes=chunk).collect()}
-        for k, (n, s) in enumerate(want):
-            assert got[k].n_words == n and got[k].log_score == pytest.approx(s, abs=2e-6)
+    for d, chunk, order in ((df.repartition(3), 1 << 24, 3), (df, 300, 3), (df, 300, 2), (df, 1000, 4), (df, 1000, 1)):
+        got = {r.doc_id: r for r in backoff.score(d, chunk_bytes=chunk, order=order).collect()}
+        for k, (n, single, s) in enumerate(slow_scores(texts, order)):
+            assert (got[k].n_words, got[k].n_backoff) == (n, single) and got[k].log_score == pytest.approx(s, abs=2e-6)
     assert len(backoff.score(edge).collect()) == len(edge_rows())
+    assert len(backoff.score(edge, keep=[]).collect()) == len(edge_rows())
     assert backoff.score(empty).count() == 0
 
 
@@ -262,9 +263,10 @@ def test_pipeline(spark, sf):
         assert after.columns == columns, name
         old, new = {r.doc_id: r for r in before.collect()}, after.collect()
         if name == "near_duplicates":
-            fps = {i: slow_print(r.text) for i, r in old.items()}
+            sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (r.text or "").encode().lower().split()) else set() for i, r in old.items()}
             ids = sorted(old)
-            top = roots([(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if (fps[a] ^ fps[b]).bit_count() <= 3], ids)
+            same = lambda a, b: not a and not b or len(a & b) >= 0.8 * len(a | b) > 0
+            top = roots([(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if same(sets[a], sets[b])], ids)
             assert sorted(r.doc_id for r in new) == sorted(i for i in ids if top[i] == i)
         if name == "repeated_passages":
             ids = sorted(old)
