@@ -150,6 +150,8 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 _B = np.uint64(0x9E3779B97F4A7C15)
 _B_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _V = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+#: Values of the bytes for a second hash, independent of the first.
+SECOND = np.random.default_rng(20250311).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -176,10 +178,10 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Rolling:
     """64-bit hashes of any substrings of one byte array, vectorised; equal substrings have equal hashes."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, values: np.ndarray = _V):
         up, self.down = _power(len(data) + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_V[data] * up[: len(data)], dtype=np.uint64, out=self.sums[1:])
+        np.cumsum(values[data] * up[: len(data)], dtype=np.uint64, out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))

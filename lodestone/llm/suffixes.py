@@ -4,8 +4,9 @@ The sorted order of all suffixes of a collection, with common prefixes, shows ea
 occurs more than once. Building it for a corpus at once takes as many passes as the longest document has
 bytes, so the collection is first parted exactly: each window belongs to the place of its smallest hashed
 substring of SEED_BYTES (its minimiser), neighbouring windows with the same place form one string, and
-equal windows have equal minimisers. Equal strings are entered once. Only minimisers that hold several different
-strings need suffix order; their strings are short (two windows at most) and go to buckets.
+equal windows have equal minimisers. Equal strings, told by two independent 64-bit hashes, are entered once. Only
+minimisers that hold several different strings need suffix order; their strings are short (two windows at most) and
+go to buckets. The strings of a minimiser with very many are cut finer first, by more of what equal windows share.
 
 In a bucket the Burrows-Wheeler transform and the common prefixes of all suffixes are built in rounds. Round
 j inserts one symbol of each string, the j-th from its end: the places of the new suffixes follow from the
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from lodestone.llm.common import Rolling, arrow_map, flat, free_name, other_fields, stash, to_arrow_schema
+from lodestone.llm.common import SECOND, Rolling, arrow_map, flat, free_name, other_fields, stash, to_arrow_schema
 
 WINDOW, SEED_BYTES = 100, 32
 #: Bytes of text whose strings a task compares before it sends any; texts are hashed in slices.
@@ -35,14 +36,16 @@ CHUNK_BYTES, SLICE = 12 << 20, 1 << 20
 BUCKET_BYTES, BATCH_BYTES = 16 << 20, 256 << 10
 #: Bytes of a sequential file that stay in memory before it goes to disk.
 SPOOL = 32 << 20
+#: Different strings of a minimiser from which they are cut finer, and into how many ranges of its place in a window.
+HOT_STRINGS, RANGES = 1024, 4
 #: Marks that a string has no further symbol; UTF-8 never has this byte.
 END = 255
 
 
 def strings_of(data: np.ndarray, off: np.ndarray, window: int, k: int) -> tuple[np.ndarray, ...]:
-    """Document, start in it, number of windows, hash of the minimiser and hash of the string, for each string."""
+    """Document, start in it, number of windows, hash of the minimiser and both hashes of the string, for each string."""
     if len(data) < window:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.uint64))
     roll = Rolling(data)
     h = roll.windows(k)
     low = np.uint64(0xFFFFFFFF)
@@ -62,7 +65,29 @@ def strings_of(data: np.ndarray, off: np.ndarray, window: int, k: int) -> tuple[
     first = np.flatnonzero(valid & (change | ~before))
     last = np.flatnonzero(valid & (np.concatenate([change[1:], [True]]) | ~after))
     d = doc[first]
-    return d, first - off[d], last - first + 1, h[place[first]], roll.of(first, last + window)
+    return d, first - off[d], last - first + 1, h[place[first]], roll.of(first, last + window), Rolling(data, SECOND).of(first, last + window)
+
+
+def finer(raw: bytes, seed: int, window: int, k: int) -> list[tuple[int, int, int]]:
+    """(start, end, new seed) of the parts of a string in which the minimiser lies in one range of places in the window.
+
+    All windows of a range share the bytes from its first place before the minimiser to its last one after it;
+    their hash is the new seed, so equal windows stay together and much else does not.
+    """
+    data = np.frombuffer(raw, np.uint8)
+    roll = Rolling(data)
+    h = roll.windows(k)[: window - k + 1]
+    place = int(np.argmin(h >> np.uint64(32)))  # ties go to the left, as in strings_of
+    out = []
+    width = -(-(window - k + 1) // RANGES)
+    for low in range(0, window - k + 1, width):
+        high = min(low + width, window - k + 1) - 1
+        first, last = max(0, place - high), min(len(raw) - window, place - low)
+        if first <= last:
+            shared = roll.of(np.array([place - low]), np.array([place - high + window]))[0]
+            new = (int(shared) ^ seed * (2 * low + 1)) & (1 << 64) - 1
+            out.append((first, last + window, new - (new >> 63 << 64)))
+    return out
 
 
 def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,7 +110,7 @@ def _ranks(ids: np.ndarray, marks: np.ndarray) -> np.ndarray:
     return out
 
 
-_REQUEST = "bucket int, ids array<long>, marks array<long>, doc array<int>, start array<int>, n array<int>, seed array<long>, string array<long>"
+_REQUEST = "bucket int, ids array<long>, marks array<long>, doc array<int>, start array<int>, n array<int>, seed array<long>, string array<long>, other array<long>"
 _REPLY = "id long, mark long, kind int, seed array<long>, start array<int>, n array<int>"
 
 
@@ -104,12 +129,15 @@ def _reply(ids, marks, kind: int, seed, start, n) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([pa.array(ids[head]), pa.array(marks[head]), pa.array(np.full(len(head), kind, np.int32)), _lists(seed.view(np.int64), cuts, pa.int64()), _lists(start, cuts, pa.int32()), _lists(n, cuts, pa.int32())], names=["id", "mark", "kind", "seed", "start", "n"])
 
 
-def _first_copies(seed, string, place) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order of distinct entries, in it the first of each string, and how many different strings its minimiser has."""
+def _first_copies(seed, string, other, place) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of distinct entries, in it the first of each string, and how many different strings its minimiser has.
+
+    Strings of equal first and different second hash may count as new more than once: suffix order decides those.
+    """
     order = np.lexsort((place, string, seed))
-    s, t, p = seed[order], string[order], place[order]
+    s, t, o, p = seed[order], string[order], other[order], place[order]
     new_seed = np.concatenate([[True], s[1:] != s[:-1]])
-    new = new_seed | np.concatenate([[True], t[1:] != t[:-1]])
+    new = new_seed | np.concatenate([[True], (t[1:] != t[:-1]) | (o[1:] != o[:-1])])
     once = new | np.concatenate([[True], p[1:] != p[:-1]])  # a repeated row has the same places again
     order, new, new_seed = order[once], new[once], new_seed[once]
     group = np.cumsum(new_seed) - 1
@@ -123,12 +151,12 @@ def _parts(window: int, k: int, n_buckets: int):
         held, size = [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            ids, marks, start, n, seed, string = (np.concatenate([h[i] for h in held]) for i in range(6))
+            ids, marks, start, n, seed, string, other = (np.concatenate([h[i] for h in held]) for i in range(7))
             held.clear()
             if not len(ids):
                 return
             rank = _ranks(ids, marks)
-            order, new, _ = _first_copies(seed, string, rank << 32 | start)
+            order, new, _ = _first_copies(seed, string, other, rank << 32 | start)
             copies, firsts = order[~new], order[new]
             bucket = (seed[firsts] % np.uint64(n_buckets)).astype(np.int64)
             for which, b in ((copies, np.full(len(copies), -1)), (firsts, bucket)):
@@ -142,8 +170,8 @@ def _parts(window: int, k: int, n_buckets: int):
                         one = lambda x, kind: _lists(x, np.array([0, len(x)]), kind)
                         settled = which is copies
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array([int(b[lo])], pa.int32()), one(ids[w][at], pa.int64()), one(marks[w][at], pa.int64()), one(doc, pa.int32()), one(start[w], pa.int32()), one(n[w], pa.int32()), one(seed[w][: 0 if settled else None].view(np.int64), pa.int64()), one(string[w][: 0 if settled else None].view(np.int64), pa.int64())],
-                            names=["bucket", "ids", "marks", "doc", "start", "n", "seed", "string"],
+                            [pa.array([int(b[lo])], pa.int32()), one(ids[w][at], pa.int64()), one(marks[w][at], pa.int64()), one(doc, pa.int32()), one(start[w], pa.int32()), one(n[w], pa.int32()), *(one(x[w][: 0 if settled else None].view(np.int64), pa.int64()) for x in (seed, string, other))],
+                            names=["bucket", "ids", "marks", "doc", "start", "n", "seed", "string", "other"],
                         )
 
         for b in batches:
@@ -152,8 +180,8 @@ def _parts(window: int, k: int, n_buckets: int):
             lo = 0
             while lo < b.num_rows:
                 hi = max(lo + 1, int(np.searchsorted(off, off[lo] + SLICE, side="right")) - 1)
-                d, start, n, seed, string = strings_of(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], window, k)
-                held.append((all_ids[lo:hi][d], all_marks[lo:hi][d], start, n, seed, string))
+                d, start, n, *hashed = strings_of(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], window, k)
+                held.append((all_ids[lo:hi][d], all_marks[lo:hi][d], start, n, *hashed))
                 size += off[hi] - off[lo]
                 lo = hi
                 if size >= CHUNK_BYTES:
@@ -166,7 +194,7 @@ def _parts(window: int, k: int, n_buckets: int):
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Requests in order of bucket -> replies: kind 0 are windows to remove, kind 1 strings whose suffixes must be sorted."""
+    """Requests in order of bucket -> replies: kind 0 are windows to remove, kind 1 strings whose suffixes must be sorted, kind 2 those of a minimiser with very many."""
     at, held = None, []
 
     def column(rows, i) -> np.ndarray:
@@ -176,16 +204,17 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = [len(r[0]) for r in held]
         doc = np.concatenate([r[2] + lo for r, lo in zip(held, np.cumsum([0, *counts[:-1]]), strict=True)])
         ids, marks = column(held, 0), column(held, 1)
-        start, n, seed, string = column(held, 3).astype(np.int64), column(held, 4), column(held, 5).view(np.uint64), column(held, 6).view(np.uint64)
-        order, new, kinds = _first_copies(seed, string, _ranks(ids, marks)[doc] << 32 | start)
-        for kind, which in ((0, order[~new]), (1, order[new & (kinds > 1)])):
+        start, n = column(held, 3).astype(np.int64), column(held, 4)
+        seed, string, other = (column(held, i).view(np.uint64) for i in (5, 6, 7))
+        order, new, kinds = _first_copies(seed, string, other, _ranks(ids, marks)[doc] << 32 | start)
+        for kind, which in ((0, order[~new]), (1, order[new & (kinds > 1) & (kinds < HOT_STRINGS)]), (2, order[new & (kinds >= HOT_STRINGS)])):
             if (out := _reply(ids[doc[which]], marks[doc[which]], kind, seed[which] if kind else seed[which] * np.uint64(0), start[which], n[which])) is not None:
                 for lo in range(0, out.num_rows, 4096):
                     yield out.slice(lo, 4096)
 
     for b in batches:
         for k, bucket in enumerate(b.column(0).to_pylist()):
-            row = [b.column(i)[k].values.to_numpy() for i in range(1, 8)]
+            row = [b.column(i)[k].values.to_numpy() for i in range(1, 9)]
             if bucket < 0:
                 if (out := _reply(row[0][row[2]], row[1][row[2]], 0, np.zeros(len(row[2]), np.int64), row[3], row[4])) is not None:
                     yield out
@@ -199,8 +228,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush()
 
 
-def _cut(window: int, n_buckets: int):
-    """(id, mark, text, wanted: array of (seed, start, n) lists) -> strings of each batch by bucket."""
+def _cut(window: int, k: int, n_buckets: int):
+    """(id, mark, text, wanted: array of (kind, seed, start, n) lists) -> strings of each batch by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -208,8 +237,11 @@ def _cut(window: int, n_buckets: int):
             for i, m, text, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.large_binary()), b.column(3), strict=True):
                 raw = text.as_py()
                 for part in wanted.values:
+                    hot = part["kind"].as_py() == 2
                     for seed, start, n in zip(*(part[f].values.to_pylist() for f in ("seed", "start", "n")), strict=True):
-                        out.setdefault(seed % n_buckets, []).append((i, m, seed, start, raw[start : start + n + window - 1]))
+                        string = raw[start : start + n + window - 1]
+                        for lo, hi, new in finer(string, seed, window, k) if hot else [(0, len(string), seed)]:
+                            out.setdefault(new % n_buckets, []).append((i, m, new, start + lo, string[lo:hi]))
             for bucket, rows in out.items():
                 i, m, seed, start, raw = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([i], pa.list_(pa.int64())), pa.array([m], pa.list_(pa.int64())), pa.array([seed], pa.list_(pa.int64())), pa.array([start], pa.list_(pa.int32())), pa.array([raw], pa.list_(pa.binary()))], names=["bucket", "id", "mark", "seed", "start", "raw"])
@@ -366,6 +398,19 @@ def _spans(parts, window: int) -> list[tuple[int, int]]:
     return out
 
 
+def whole_characters(raw: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs without the bytes of characters that lie in them in part only."""
+    out = []
+    for lo, hi in runs:
+        while lo < hi and raw[lo] & 0xC0 == 0x80:
+            lo += 1
+        while hi > lo and hi < len(raw) and raw[hi] & 0xC0 == 0x80:
+            hi -= 1
+        if lo < hi:
+            out.append((lo, hi))
+    return out
+
+
 def _apply(window: int, fields: int, as_text: bool, schema):
     """(kept columns.., text, parts) -> kept columns.., results."""
 
@@ -378,9 +423,11 @@ def _apply(window: int, fields: int, as_text: bool, schema):
                 size.append(len(raw or b""))
                 removed.append(sum(hi - lo for lo, hi in runs))
                 spans.append(len(runs))
+                if as_text:
+                    runs = whole_characters(raw or b"", runs)
                 if runs:
                     raw = b"".join(raw[lo:hi] for lo, hi in zip([0, *(hi for _, hi in runs)], [*(lo for lo, _ in runs), len(raw)], strict=True))
-                kept.append((raw if raw is None else raw.decode(errors="ignore")) if as_text else hashlib.sha256(raw or b"").hexdigest())
+                kept.append((raw if raw is None else raw.decode()) if as_text else hashlib.sha256(raw or b"").hexdigest())
             yield pa.RecordBatch.from_arrays([*(b.column(i).cast(schema.field(i).type) for i in range(fields)), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.string())], schema=schema)
 
     return run
@@ -390,7 +437,7 @@ def repeats(df: DataFrame, text: str = "text", ident: str = "doc_id", window: in
     """Remove every byte covered by a `window`-byte string that also starts earlier: in a smaller id, or before in the same document.
 
     Columns `keep` (default: all but the text), n_bytes, n_removed, n_spans and kept_sha256 of the remaining bytes; with
-    as_text=True instead of the digest kept_text, from which bytes of characters cut in two are left out.
+    as_text=True instead of the digest kept_text, in which characters stay that are covered in part only.
     What repeats is judged on the input. Null text: 0 bytes, digest of nothing (kept_text: null). Null ids come
     last. Rows that share an id are documents of their own, ordered by a hash of the text; rows with the same id
     and text are one document and each get its result. Empty table: no rows. Kept columns named like a result go.
@@ -409,11 +456,25 @@ def repeats(df: DataFrame, text: str = "text", ident: str = "doc_id", window: in
     # what is settled already goes anywhere; a bucket goes to one task
     spread = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64(F.element_at("ids", 1)), F.lit(buckets)).cast("int")).otherwise(F.col("bucket"))
     replies = stash(arrow_map(asked.repartitionById(buckets, spread).sortWithinPartitions("bucket"), _compare, _REPLY))
-    gathered = lambda d: d.groupBy(F.col("id").alias(key), F.col("mark").alias(tag)).agg(F.collect_list(F.struct("seed", "start", "n")).alias(parts))
-    wanted = docs.join(gathered(replies.where("kind = 1")), [key, tag]).where(F.col(body).isNotNull()).select(key, tag, body, parts).dropDuplicates([key, tag]) if n != ids else docs.join(gathered(replies.where("kind = 1")), [key, tag]).select(key, tag, body, parts)
-    cut = arrow_map(wanted, _cut(window, 4 * buckets), "bucket int, id array<long>, mark array<long>, seed array<long>, start array<int>, raw array<binary>")
+    gathered = lambda d: d.groupBy(F.col("id").alias(key), F.col("mark").alias(tag)).agg(F.collect_list(F.struct("kind", "seed", "start", "n")).alias(parts))
+    wanted = docs.join(gathered(replies.where("kind > 0")), [key, tag]).select(key, tag, body, parts)
+    if n != ids:
+        wanted = wanted.where(F.col(body).isNotNull()).dropDuplicates([key, tag])
+    cut = arrow_map(wanted, _cut(window, seed_bytes, 4 * buckets), "bucket int, id array<long>, mark array<long>, seed array<long>, start array<int>, raw array<binary>")
     more = arrow_map(cut.repartitionById(4 * buckets, F.col("bucket")).sortWithinPartitions("bucket"), _sort_suffixes(window), _REPLY)
     settled = gathered(replies.where("kind = 0").unionByName(more))
     joined = docs.join(settled, [key, tag], "left").select(*[F.col(f.name) for f in fields], body, parts)
     schema = StructType([*fields, *results])
     return arrow_map(joined, _apply(window, len(fields), as_text, to_arrow_schema(schema)), schema)
+
+
+def removed(df: DataFrame, text: str = "text", ident: str = "doc_id", length: str = "n_chars", window: int = WINDOW) -> DataFrame:
+    """Rows of df without their repeated passages, all columns as they were; `length`, if df has it, follows a text that changed.
+
+    Characters that a repeated string covers in part only stay. Null texts stay null, texts may become empty.
+    """
+    results = ("n_bytes", "n_removed", "n_spans", "kept_text")
+    own = {c: free_name(df, f"input_{k}_{c}") for k, c in enumerate(df.columns) if c.lower() in results and c != text}
+    out = repeats(df.withColumnsRenamed(own), text, ident, window, keep=[own.get(c, c) for c in df.columns], as_text=True)
+    changed = {text: F.col("kept_text"), length: F.when(F.col("kept_text") != F.col(text), F.char_length("kept_text").cast(dict(df.dtypes).get(length, "long"))).otherwise(F.col(own.get(length, length))) if length in df.columns else None}
+    return out.select(*[(changed[c] if c in changed else F.col(own.get(c, c))).alias(c) for c in df.columns])

@@ -162,6 +162,73 @@ def test_suffix_order():
         assert common.tolist() == want
 
 
+def test_hot_minimiser(spark):
+    """Very many different strings around one passage: cut finer, with the same result."""
+    rng = random.Random(9)
+    shared = "the only passage that all of these short texts have in common is this one here"
+    texts = ["".join(rng.choices("abcdefgh ", k=40)) + shared + rng.choice(["", "x", "yz"]) + "".join(rng.choices("abcdefgh ", k=rng.choice([5, 40]))) for _ in range(1300)]
+    texts += [t[: 60 + k % 90] + "é" for k, t in enumerate(texts[:200])]
+    rows = list(enumerate(texts))
+    want = slow_repeats(rows, 100)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert [got[i] for i, _ in rows] == want and any(r for _, r, _, _ in want)
+
+
+def test_finer():
+    """Equal windows of two strings of one minimiser get equal seeds; each window is in one part."""
+    rng = np.random.default_rng(2)
+    seen = {}
+    for _ in range(300):
+        raw = b"left " * int(rng.integers(8)) + b"zqpassage" * 12 + bytes(rng.integers(97, 100, 60).astype(np.uint8))
+        off = np.array([0, len(raw)])
+        _, start, n, seed, *_ = suffixes.strings_of(np.frombuffer(raw, np.uint8), off, 100, 32)
+        for s, k, h in zip(start.tolist(), n.tolist(), seed, strict=True):
+            string = raw[s : s + k + 99]
+            parts = suffixes.finer(string, int(h.view(np.int64)), 100, 32)
+            windows = [(lo + i, new) for lo, hi, new in parts for i in range(hi - lo - 99)]
+            assert sorted(at for at, _ in windows) == list(range(k))
+            for at, new in windows:
+                assert seen.setdefault((int(h), string[at : at + 100]), new) == new
+
+
+def test_hash_collisions():
+    """Strings that share the first hash and not the second are never taken for copies."""
+    seed, string, other = np.array([7, 7, 7, 7], np.uint64), np.array([1, 1, 1, 1], np.uint64), np.array([5, 6, 5, 5], np.uint64)
+    order, new, kinds = suffixes._first_copies(seed, string, other, np.array([10, 20, 30, 40]))
+    copies = order[~new].tolist()
+    assert copies == [3] and (kinds > 1).all()  # the third stays for the suffix order
+
+
+def slow_text(raw, runs):
+    """The text without characters that lie in a run whole."""
+    out, at = [], 0
+    for c in raw.decode():
+        size = len(c.encode())
+        if not any(lo <= at and at + size <= hi for lo, hi in runs):
+            out.append(c)
+        at += size
+    return "".join(out)
+
+
+def test_whole_characters():
+    raw = "aéß字x".encode()
+    for lo in range(len(raw)):
+        for hi in range(lo + 1, len(raw) + 1):
+            runs = suffixes.whole_characters(raw, [(lo, hi)])
+            assert b"".join(raw[a:b] for a, b in zip([0, *(h for _, h in runs)], [*(x for x, _ in runs), len(raw)], strict=True)).decode() == slow_text(raw, [(lo, hi)])
+
+
+def test_removed(spark):
+    rows = [(1, "é" + "y" * 99 + "z", "a", 3, "o", 7, None), (2, "w" + "é" + "y" * 99 + "q", "a", 5, "p", 8, 1.5), (3, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, kept_text string, N_removed int, n_spans double")
+    out = suffixes.removed(df)
+    assert out.columns == df.columns
+    got = {r.doc_id: tuple(r) for r in out.collect()}
+    assert got[1] == rows[0] and got[3] == rows[2]
+    assert got[2] == (2, "wq", "a", 2, "p", 8, 1.5)
+    assert suffixes.removed(df.limit(0)).columns == df.columns
+
+
 def test_repeats_edges(spark, edge, empty):
     out = suffixes.repeats(edge, as_text=True).collect()
     assert len(out) == len(edge_rows())
