@@ -30,21 +30,28 @@ def assign(df: DataFrame, ident: str = "doc_id", size: str | None = None, text:
     """Append shard, bucket, slot and grown_shard (with one more shard) to each row of df.
 
     slot: the record's place in its shard, gapless from 0: buckets in order, each in shuffled order. A bucket holds
-    about bucket_bytes by `size` (default: bytes of `text` plus 1), which bounds what a task gathers;
-    the bucket comes from a hash of the whole row, so rows that share an id spread over all buckets of
-    their shard. Same rows, seed and bucket count: same slots, in whatever order rows are read.
-    Null id: hashed as such, one shard. Equal rows: share a bucket, any order among them. Empty
+    about bucket_bytes by `size` (default: bytes of `text` plus 1), which bounds what a task gathers: a shard has as
+    many buckets as its own bytes ask for, and the bucket comes from a hash of the whole row, so rows that
+    share an id spread over all buckets of their shard. Same rows, seed and bucket size: same slots, in whatever
+    order rows are read. Equal rows share a bucket, any order among them, unless they would fill one: then they are dealt by
+    place, and only shards are the same on every order of reading. Null id: hashed as such, one shard. Empty
     table: no rows. Columns named shard, bucket, slot or grown_shard are replaced.
     """
     rows = df.drop(*[c for c in df.columns if c.lower() in ("shard", "bucket", "slot", "grown_shard")])
     weight = F.col(size) if size else record_size(F.col(text))
-    total = rows.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
-    per_shard = max(1, -(-total // (shards * bucket_bytes)))
-    rec, n, first = (free_name(rows, x) for x in ("rec", "n_rec", "first_rec"))
-    shard = rendezvous(F.col(ident), shards, seed)
-    bucket = F.pmod(F.xxhash64(F.lit(seed + 1), *rows.columns), F.lit(per_shard)).cast("int")
-    # pass 1: one partition a bucket number; the count is given, so Spark keeps it and reruns agree
-    scattered = rows.select(F.struct(*rows.columns).alias(rec), shard.alias("shard"), bucket.alias("bucket")).repartition(shards * per_shard, "shard", "bucket")
+    rec, n, first, own, part = (free_name(rows, x) for x in ("rec", "n_rec", "first_rec", "own_hash", "part"))
+    shard, whole = rendezvous(F.col(ident), shards, seed), F.xxhash64(F.lit(seed + 1), *rows.columns)
+    sums = {r[0]: r[1] for r in rows.groupBy(shard.alias("shard")).agg(F.sum(weight)).collect()}  # a row for each shard
+    parts = [max(1, -(-(sums.get(s) or 0) // bucket_bytes)) for s in range(shards)]
+    heavy = stash(rows.groupBy(whole.alias(own)).agg(F.sum(weight).alias("w"), F.count("*").alias("m")).where((F.col("w") > bucket_bytes) & (F.col("m") > 1)).select(own))
+    per_shard, before = (F.element_at(F.array(*[F.lit(int(x)) for x in xs]), F.col("shard") + 1) for xs in (parts, [sum(parts[:s]) for s in range(shards)]))
+    placed = rows.select(F.struct(*rows.columns).alias(rec), shard.alias("shard"), whole.alias(own))
+    if heavy.count():  # no more of them than buckets
+        place = placed.withColumn(n, F.monotonically_increasing_id()).join(small(heavy.withColumn(part, F.lit(1)), 16), own, "left")
+        placed = place.select(rec, "shard", F.when(F.col(part).isNotNull(), F.xxhash64(own, n)).otherwise(F.col(own)).alias(own))
+    # pass 1: one partition a bucket; dealt by number, so Spark keeps them and reruns agree
+    scattered = placed.select(rec, "shard", F.pmod(F.col(own), per_shard).cast("int").alias("bucket"))
+    scattered = scattered.repartitionById(sum(parts), (before + F.col("bucket")).cast("int"))
     # pass 2: arrays and buckets are sorted first, as the shuffle draws from one sequence a partition; so arrival decides nothing
     buckets = scattered.groupBy("shard", "bucket").agg(F.sort_array(F.collect_list(rec)).alias(rec)).sortWithinPartitions("shard", "bucket")
     buckets = stash(buckets.select("shard", "bucket", F.shuffle(rec, seed).alias(rec)).withColumn(n, F.size(rec)))
@@ -55,6 +62,6 @@ def assign(df: DataFrame, ident: str = "doc_id", size: str | None = None, text:
 
 
 def write_shards(df: DataFrame, path: str, **options) -> None:
-    """Assign and write Parquet under path/shard=k, each bucket one sorted file, in slot order within a bucket."""
+    """Assign and write Parquet under path/shard=k/bucket=b, each bucket one file in slot order."""
     placed = assign(df, **options).drop("grown_shard")
-    placed.repartition("shard", "bucket").sortWithinPartitions("shard", "bucket", "slot").write.partitionBy("shard").parquet(path)
+    placed.repartition("shard", "bucket").sortWithinPartitions("shard", "bucket", "slot").write.partitionBy("shard", "bucket").parquet(path)
