@@ -13,11 +13,11 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-from lodestone.llm.common import arrow_map, map_texts
+from lodestone.llm.common import arrow_map, map_texts, stash
 
 #: Buckets of hashed words and word beginnings, of hashed token shapes, and the three document features after them.
 WORDS, SHAPES, EXTRA = 1 << 17, 1 << 10, 3
@@ -26,6 +26,8 @@ STEMS = (4, 5)
 SIZE = WORDS + SHAPES + EXTRA
 #: Labelled rows that a fit may use at most; those with the lowest hash of their id.
 FIT_ROWS = 12_000
+#: Bytes of their texts that a fit may use at most, in the same order.
+FIT_BYTES = 128 << 20
 GRADES, STEPS, RATE, PENALTY = 3, 400, 0.1, 1e-5
 #: A feature takes a weight only if it is in so many rows of the sample, and their mean grade lies so many
 #: standard errors below the mean of all: a good document is one without evidence against it, and rare
@@ -51,7 +53,7 @@ class Features:
         forms = 0
         for form in (word, *(f"{word[:n]}~" for n in STEMS)):
             forms = forms << 17 | zlib.crc32(form.encode()) % WORDS
-        shape = zlib.crc32("".join(k for k, _ in groupby(map(_kind, t[:64]))).encode()) % SHAPES
+        shape = zlib.crc32("".join(k for k, _ in groupby(map(_kind, t))).encode()) % SHAPES
         out = self.memo[t] = forms << 10 | shape
         return out
 
@@ -129,10 +131,16 @@ def grade() -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", ident: str = "doc_id", rating: Callable[[], Column] = grade, fit_rows: int = FIT_ROWS, **options) -> tuple[np.ndarray, np.ndarray]:
-    """Fit on at most fit_rows labelled rows (a documented bound; which rows, a hash of the id decides)."""
+    """Fit on at most fit_rows labelled rows and FIT_BYTES of text (documented bounds; which rows, a hash of the id decides).
+
+    Of documents that share a labelled id the one with the smallest text hash is taken.
+    """
     chosen = labels.select(F.col(ident).alias("id"), rating().alias("grade")).where("grade is not null and id is not null")
     chosen = chosen.orderBy(F.xxhash64("id"), "id", "grade").limit(fit_rows)
     rows = docs.select(F.col(ident).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")
+    rows = rows.groupBy("id", "grade").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    so_far = Window.orderBy(F.xxhash64("id"), "id", "grade")  # fit_rows rows at most
+    rows = stash(rows).withColumn("bytes", F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(so_far)).where(F.col("bytes") <= FIT_BYTES)
 
     def run(batches):
         features = Features()
