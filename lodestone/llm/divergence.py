@@ -97,6 +97,11 @@ def distance(p: np.ndarray, q: np.ndarray) -> float:
     return float(np.sqrt(min(1.0, max(0.0, (part(p) + part(q)) / 2))))
 
 
+def _tongue(lang: str | None) -> str:
+    """Key of a language; null is one of its own."""
+    return "null" if lang is None else f"={lang}"
+
+
 def _tally(df: DataFrame, text: str, lang: str, chosen: dict[str, list[bytes]] | None, least_share: float) -> DataFrame:
     """(lang, kind, key, n). Without `chosen`: class counts and, as candidates, words with least_share of some part of
     the texts (a word with that share of all has it in one part at least). With it: counts of these words."""
@@ -117,7 +122,7 @@ def _tally(df: DataFrame, text: str, lang: str, chosen: dict[str, list[bytes]] |
 
         for b in batches:
             for t, name in zip(b.column(0), b.column(1), strict=True):
-                text_, tongue = t.as_py() or "", name.as_py() or ""
+                text_, tongue = t.as_py() or "", _tongue(name.as_py())
                 if chosen is None:
                     got = class_counts(text_)
                     classes[tongue] = classes[tongue] + got if tongue in classes else got
@@ -141,7 +146,7 @@ def _tally(df: DataFrame, text: str, lang: str, chosen: dict[str, list[bytes]] |
 
 
 def references(df: DataFrame, text: str = "text", lang: str = "lang", least_share: float = LEAST_SHARE) -> dict[str, tuple[np.ndarray, dict[bytes, int], np.ndarray]]:
-    """By language ('' for null): class counts, places of its common words, and counts of these and of all other words.
+    """By key of the language: class counts, places of its common words, and counts of these and of all other words.
 
     What reaches the driver is 1 / least_share words a language and part at most; it is refused beyond BROADCAST_BYTES.
     """
@@ -172,14 +177,15 @@ def references(df: DataFrame, text: str = "text", lang: str = "lang", least_shar
     return out
 
 
-def judge(df: DataFrame, text: str = "text", lang: str = "lang", least_share: float = LEAST_SHARE, most_class: float = MOST_CLASS, most_word: float = MOST_WORD, least_chars: int = LEAST_CHARS, least_words: int = LEAST_WORDS, keep: list[str] | None = None) -> DataFrame:
+def judge(df: DataFrame, text: str = "text", lang: str = "lang", least_share: float = LEAST_SHARE, most_class: float = MOST_CLASS, most_word: float = MOST_WORD, least_chars: int = LEAST_CHARS, least_words: int = LEAST_WORDS, known: dict | None = None, keep: list[str] | None = None) -> DataFrame:
     """Append n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance, word_distance, kept.
 
     Null text counts as empty (base_failed, not kept); a null language has references of its own. A
+    known: references() of a trusted corpus; by default those of df itself. A language that they lack has no distances. A
     distance is null below its minimum length and then decides nothing. Rows are judged one by one, so
     ties, repeated rows and very long texts need nothing special; an empty table gives no rows.
     """
-    shared = df.sparkSession.sparkContext.broadcast(references(df, text, lang, least_share))
+    shared = df.sparkSession.sparkContext.broadcast(references(df, text, lang, least_share) if known is None else known)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     schema = StructType([StructField(n, LongType()) for n in names] + [StructField("base_failed", BooleanType()), StructField("class_distance", DoubleType()), StructField("word_distance", DoubleType()), StructField("kept", BooleanType())])
     both = next(c for c in ("_judged", "__judged", "___judged") if c not in df.columns)
@@ -191,7 +197,7 @@ def judge(df: DataFrame, text: str = "text", lang: str = "lang", least_share: fl
             rows = []
             for t, name in zip(pairs.field(0), pairs.field(1), strict=True):
                 x = t.as_py() or ""
-                classes, place, words = known[name.as_py() or ""]
+                classes, place, words = known.get(_tongue(name.as_py()), (np.zeros(CLASSES), {}, np.zeros(1)))
                 n_words, chars, symbols, dup, repeat, _ = base_counts(x)
                 failed = n_words < BASE_WORDS or 100 * repeat > BASE_REPEAT * n_words
                 by_class = distance(class_counts(x), classes) if chars >= least_chars else None
