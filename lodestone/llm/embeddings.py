@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import arrow_map, free_name, small, stash
 from lodestone.llm.components import components, forest
 
-THRESHOLD, TILE = 0.98, 2048
+#: Vectors of a tile, and bytes of it if they are long; a cell of n tiles sends each of them n times.
+THRESHOLD, TILE, TILE_BYTES = 0.98, 8192, 32 << 20
 #: Entries of a product that a task holds at once.
 BLOCK = 512
 
@@ -115,13 +116,14 @@ def link(df: DataFrame, ident: str = "vec_id", vector: str = "embedding", label:
     v = F.col(vector)
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = rows.withColumn(val, F.coalesce(F.col(label).isNotNull() & v.isNotNull() & finite, F.lit(False)))
-    classes = rows.where(val).groupBy(F.col(label).alias("label"), v.cast("array<double>").alias("embedding")).agg(F.min(ident).alias("low"), F.count("*").alias("n"))
+    rows = rows.withColumn(mark, F.when(F.col(val), F.struct(*[F.xxhash64(F.lit(k), F.col(label), v.cast("array<double>")).alias(f"h{k}") for k in (0, 1)])))
+    classes = rows.where(val).groupBy(F.col(label).alias("label"), v.cast("array<double>").alias("embedding")).agg(F.min(ident).alias("low"), F.count("*").alias("n"), F.first(mark).alias("mark"))
     classes = stash(classes.withColumn("cid", F.monotonically_increasing_id()))
     width = float(np.sqrt(2 - 2 * threshold)) + 1e-6
     cells = stash(arrow_map(classes.select("cid", "embedding"), _cells(width), "cid long, c1 int, c2 int"))
     where = ["label", "dim", "c1", "c2"]
     placed = classes.join(cells, "cid").withColumn("dim", F.size("embedding"))
-    counts = stash(placed.groupBy(where).agg(F.ceil(F.count("*") / tile).cast("int").alias("parts")))
+    counts = stash(placed.groupBy(where).agg(F.ceil(F.count("*") / F.greatest(F.lit(1), F.least(F.lit(tile), F.lit(TILE_BYTES) / (8 * F.first("dim"))))).cast("int").alias("parts")))
     placed = placed.join(small(counts, 64), where).withColumn("sub", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
     # dealt by tile, since the join's dealing by cell would bring all tiles of a hot cell into one task
     tiles = stash(placed.repartition(*where, "sub").groupBy(*where, "sub").agg(F.collect_list(F.struct("cid", "n", "embedding")).alias("rows")))
@@ -137,15 +139,15 @@ def link(df: DataFrame, ident: str = "vec_id", vector: str = "embedding", label:
     found = stash(arrow_map(met, _products(threshold), "kind int, u long, v long"))
     sums = found.where("kind = 0").groupBy(F.col("u").alias("cid")).agg(F.sum("v").alias("more"))
     roots = components(found.where("kind = 1").select("u", "v")).select(F.col("u").alias("cid"), F.col("v").alias("root"))
-    named = stash(classes.select("cid", "label", "embedding", "low", "n").join(sums, "cid", "left").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid")))
+    named = stash(classes.select("cid", "mark", "low", "n").join(sums, "cid", "left").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid")))
     least = stash(named.groupBy("root").agg(F.min("low").alias("component")))  # a plain table, so that a large component can be split
-    named = named.join(least, "root").select(F.struct("label", "embedding").alias(mark), "component", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("links"))
-    named = named.select(F.col(mark + ".label").alias("l_"), F.col(mark + ".embedding").alias("e_"), F.col("component").alias("c_"), F.col("links").alias("n_"))
-    named = named.toDF(*[free_name(rows, x) for x in ("l_", "e_", "c_", "n_")])
-    lab, emb, comp, links = named.columns
-    out = rows.join(named, F.col(val) & (F.col(label) == F.col(lab)) & (v.cast("array<double>") == F.col(emb)), "left")
+    # vectors stay where they are: rows meet their class by 128 bits of hashes
+    named = stash(named.join(least, "root").select("mark", "component", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("links")))
+    named = named.toDF(*[free_name(rows, x) for x in ("m_", "c_", "n_")])
+    marks, comp, links = named.columns
+    out = rows.join(named, F.col(mark) == F.col(marks), "left")
     own = F.when(F.col(val), F.col(comp)).otherwise(F.col(ident))
-    return out.select(*[c for c in rows.columns if c != val], F.coalesce(F.col(links), F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.col(ident).eqNullSafe(own).alias("kept"))
+    return out.select(*[c for c in rows.columns if c not in (val, mark)], F.coalesce(F.col(links), F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.col(ident).eqNullSafe(own).alias("kept"))
 
 
 ORACLE = f"""
