@@ -83,9 +83,9 @@ def test_simhash_edges(spark, edge, empty):
     assert len(rows) == len(edge_rows())
     blank = {r.component_id for r in rows if not (r.text or "").strip()}
     assert blank == {2}  # null and wordless texts are one class
-    kept = simhash.near_duplicates_removed(edge)
+    kept = simhash.near_copies_removed(edge)
     assert kept.columns == edge.columns and kept.where("doc_id = 6").count() == 1 and kept.where("doc_id in (3, 4)").count() == 0
-    assert simhash.classes(empty).count() == 0 and simhash.near_duplicates_removed(empty).count() == 0
+    assert simhash.classes(empty).count() == 0 and simhash.near_copies_removed(empty).count() == 0
 
 
 def slow_similar(rows):
