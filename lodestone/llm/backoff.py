@@ -60,22 +60,18 @@ def hashes(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         lo = hi
 
 
-def grams(words: np.ndarray, n: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def grams(words: np.ndarray, n: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each length up to `order`: the hash of each n-gram, and the place of its last word; n-grams stay within a document."""
     starts = np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else np.zeros(0, np.int64)
-    place = np.arange(len(words)) - np.repeat(starts, n)
-    out = [(words, np.arange(len(words)))]
+    place = np.arange(len(words), dtype=np.int32) - np.repeat(starts.astype(np.int32), n)
+    last = words
+    yield words, np.arange(len(words))
     for k in range(1, order):
         at = np.flatnonzero(place >= k)
-        before = np.zeros(len(words), np.uint64)
-        before[out[-1][1]] = out[-1][0]
-        out.append((mix(before[at - 1] * _PAIR + words[at] + np.uint64(k)), at))
-    return out
-
-
-def _distinct(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending distinct hashes and how often each one occurs."""
-    return np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        now = mix(last[at - 1] * _PAIR + words[at] + np.uint64(k))
+        yield now, at
+        last = np.zeros(len(words), np.uint64)
+        last[at] = now
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -130,12 +126,11 @@ def _requests(n_buckets: int, order: int, chunk_bytes: int):
 
         def flush() -> Iterator[pa.RecordBatch]:
             words = np.concatenate([w for w, _ in held])
-            told = grams(words, np.concatenate([n for _, n in held]), order)
+            sizes = np.concatenate([n for _, n in held])
             held.clear()
             yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([at % n_buckets], pa.int32()), pa.array([order], pa.int32()), pa.array([0], pa.int32()), pa.array([_digest(words).tobytes()], pa.binary())], names=["chunk", "bucket", "kind", "size", "body"])
-            for kind in range(order):
-                h, n = _distinct([told[kind][0]])
-                told[kind] = None
+            for kind, (h, _) in enumerate(grams(words, sizes, order)):
+                h, n = np.unique(h, return_counts=True)
                 cuts = [0, *np.searchsorted(h, borders).tolist(), len(h)]
                 some = [(b, lo, hi) for b, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if hi > lo]
                 for k in range(0, len(some), 256):
@@ -234,6 +229,7 @@ def _scores(backoff: float, order: int, fields: list[str], schema):
             hashed = [x for b in rows for x in hashes(b.column(0))]
             words = np.concatenate([w for w, _ in hashed] or [np.zeros(0, np.uint64)])
             n = np.concatenate([k for _, k in hashed] or [np.zeros(0, np.int64)])
+            hashed.clear()
             if digest is None or _digest(words) != digest:
                 raise RuntimeError("rows met other chunks on the second read; write the table first")
             counts, length = [], np.zeros(len(words), np.int64)  # of the longest n-gram in the tables that ends at each word
@@ -303,7 +299,7 @@ def score(df: DataFrame, text: str = "text", keep: list[str] | None = None, orde
     asked = arrow_map(named.select("part", "text"), _requests(n, order, chunk_bytes), _REQUEST).repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", "kind", "chunk")
     told = arrow_map(asked, _answers(least_count, order), _REQUEST)
     both = told.unionByName(arrow_map(named, _texts(order, fields, chunk_bytes), _REQUEST))
-    both = both.repartition(n, "chunk").sortWithinPartitions("chunk", "kind", "bucket")
+    both = both.repartition(4 * n, "chunk").sortWithinPartitions("chunk", "kind", "bucket")
     inner = StructType([f for f in rest.fields if fields]).add("n_words", "long").add("n_backoff", "long").add("n_full", "long").add("raw_log", "double")
     out = stash(arrow_map(both, _scores(backoff, order, fields, to_arrow_schema(inner)), inner))
     words = out.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
