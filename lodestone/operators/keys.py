@@ -49,6 +49,17 @@ def scan(df: DataFrame, pattern: str = "*", kind: str | None = None) -> DataFram
     return rows.where(F.col("type") == kind) if kind else rows
 
 
+def scan_page(df: DataFrame, cursor: str | None = None, count: int = 10, pattern: str = "*", kind: str | None = None) -> tuple[DataFrame, str | None]:
+    """(page, next cursor): the `count` keys after the cursor, of which those that match stay; a None cursor ends the walk.
+
+    Keys come in order, so that every key there throughout the walk is seen exactly once.
+    """
+    ahead = df if cursor is None else df.where(F.col("key") > cursor)
+    window = ahead.orderBy("key").limit(max(1, count))
+    seen = window.agg(F.count("*").alias("n"), F.max("key").alias("last")).first()
+    return scan(window, pattern, kind), seen.last if seen.n == max(1, count) else None
+
+
 def random_key(df: DataFrame, seed: int) -> DataFrame:
     return df.orderBy(F.xxhash64(F.lit(seed), "key"), "key").limit(1).select("key")
 
@@ -116,6 +127,44 @@ def set_(df: DataFrame, new: DataFrame, nx: bool = False, xx: bool = False) -> D
     return out.where(F.col("value").isNotNull())
 
 
+def get_set(df: DataFrame, key: str, value: str) -> tuple[str | None, DataFrame]:
+    """(old value, the frame with the new one, its deadline gone)."""
+    new = df.sparkSession.createDataFrame([(key, value)], "key string, value string")
+    return _one(df, key), set_(df, new)
+
+
+def get_del(df: DataFrame, key: str) -> tuple[str | None, DataFrame]:
+    return _one(df, key), delete(df, key)
+
+
+def get_ex(df: DataFrame, key: str, at: int | None) -> tuple[str | None, DataFrame]:
+    """(value, the frame with the deadline `at`; None takes it away)."""
+    return _one(df, key), expire(df, at, key)
+
+
+def copy(df: DataFrame, old: str, new: str, replace: bool = False) -> DataFrame:
+    """The old key's rows again under the new key, deadline included; nothing changes without the old key, or if the new one is there and replace isn't given."""
+    have = {r.key for r in df.where(F.col("key").isin(old, new)).select("key").distinct().collect()}
+    if old not in have or (new in have and not replace):
+        return df
+    return df.where(F.col("key") != new).unionByName(df.where(F.col("key") == old).withColumn("key", F.lit(new)))
+
+
+def touch(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(n): how many of the keys there are; a key named twice counts twice."""
+    return exists(df, keys)
+
+
+def flush(df: DataFrame, prefix: str = "") -> DataFrame:
+    """The keyspace without the keys under a prefix; without any for none."""
+    return df.where(~F.col("key").startswith(prefix))
+
+
+def _one(df: DataFrame, key: str) -> str | None:
+    row = df.where(F.col("key") == key).select("value").first()
+    return row.value if row else None
+
+
 def append(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.withColumn("value", F.when(F.col("key") == key, F.concat("value", F.lit(text))).otherwise(F.col("value")))
 
@@ -162,5 +211,7 @@ def prefix_stats(df: DataFrame, prefix: str) -> DataFrame:
 
 
 def digest(df: DataFrame, prefix: str, *columns: str) -> DataFrame:
-    """Order-free digest of the rows under a prefix: XOR of a 64-bit hash of each row."""
-    return df.where(F.col("key").startswith(prefix)).agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("key", *columns)), F.lit(0)).alias("digest"))
+    """Order-free digest of the rows under a prefix: XOR of the first 60 bits of each row's MD5, as any engine can take it."""
+    parts = [F.concat(F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(-1)).cast("string"), F.lit(":"), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in ("key", *columns)]
+    row = F.conv(F.substring(F.md5(F.concat(*parts).cast("binary")), 1, 15), 16, 10).cast("long")
+    return df.where(F.col("key").startswith(prefix)).agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(row), F.lit(0)).alias("digest"))

@@ -45,8 +45,9 @@ def _test(df: DataFrame, table: Table, column: str, low, high, now, swap: bool =
     if swap and low > high:
         low, high = high, low
     source = dict(df.dtypes)[column]
-    plain = source in {"i64": ("int", "bigint", "smallint", "tinyint"), "f64": (), "str": ("string",)}[kind]
-    col = F.col(column) if plain else value(df, table, column)  # a bare column reaches the Parquet filters
+    # a bare column reaches the Parquet filters; NaN is above every upper bound, so it needs no test of its own
+    plain = source in {"i64": ("int", "bigint", "smallint", "tinyint"), "f64": ("double",), "str": ("string",)}[kind]
+    col = F.col(column) if plain else value(df, table, column)
     return col == low if low == high else (col >= low) & (col <= high)
 
 
@@ -156,10 +157,14 @@ def compose(df: DataFrame, table: Table, op: str, left: tuple[str, object, objec
 
 
 def explain(rows: DataFrame, table: Table, index: str) -> DataFrame:
-    """(path, kind, est_rows, plan) of a matched set, from Spark's plan and statistics; nothing runs."""
+    """(path, kind, est_rows, plan) of a matched set, from Spark's plan and statistics; nothing runs.
+
+    est_rows is the optimiser's row count, null where the source has no statistics.
+    """
     path = table.index(index)
     plan = rows._jdf.queryExecution()
-    est = int(str(plan.optimizedPlan().stats().sizeInBytes())) // max(1, 16 * len(rows.columns))
+    rows_known = plan.optimizedPlan().stats().rowCount()
+    est = int(str(rows_known.get())) if rows_known.isDefined() else None
     pushed = [x.strip() for x in plan.executedPlan().toString().splitlines() if "PushedFilters" in x]
     line = pushed[0][pushed[0].index("PushedFilters") :].split("ReadSchema")[0].rstrip(", ") if pushed else "no filter reaches the scan"
     return rows.sparkSession.createDataFrame([(f"{table.name}.{path.name}", getattr(path, "kind", "orderpath"), est, line)], "path string, kind string, est_rows long, plan string")

@@ -81,6 +81,12 @@ def bm25(tf: Column, df: Column, n: Column, dl: Column, avgdl: Column) -> Column
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
+def near(term: Column, word: str, typo: int) -> Column:
+    """Whether a term is within `typo` edits of a word; edits count bytes, so a letter beyond ASCII may take several."""
+    single = lambda c: F.decode(F.encode(c, "UTF-8"), "ISO-8859-1")
+    return F.levenshtein(single(term), single(F.lit(word)), typo) >= 0
+
+
 def expand(post: DataFrame, query: Query, typo: int = 0) -> DataFrame:
     """(term): dictionary terms that the query's terms, phrases and prefixes stand for."""
     if not 0 <= typo <= 2:
@@ -91,7 +97,7 @@ def expand(post: DataFrame, query: Query, typo: int = 0) -> DataFrame:
         test |= F.col("term").startswith(p)
     if typo:
         for t in query.terms:
-            test |= F.levenshtein(F.col("term"), F.lit(t), typo) >= 0
+            test |= near(F.col("term"), t, typo)
     return post.select("term").where(test).distinct()
 
 
@@ -139,7 +145,7 @@ def match_texts(df: DataFrame, text: str, fields: tuple[str, ...], within: tuple
             test |= t.startswith(p)
         if typo:
             for x in query.terms:
-                test |= F.levenshtein(t, F.lit(x), typo) >= 0
+                test |= near(t, x, typo)
         return test
 
     if not 0 <= typo <= 2:
@@ -222,7 +228,7 @@ def highlight(df: DataFrame, text: str, fields: tuple[str, ...], typo: int = 0,
             test |= t.startswith(p)
         if typo:
             for x in query.terms:
-                test |= F.levenshtein(t, F.lit(x), typo) >= 0
+                test |= near(t, x, typo)
         return test
 
     word = rf"[{CJK}]+|[[\p{{IsAlphabetic}}\p{{N}}]&&[^{CJK}]]+"

@@ -11,8 +11,8 @@ from lodestone.catalog import Leaf, Node, Table, View
 from lodestone.errors import Refused
 from lodestone.operators import paths
 
-#: Most rows of a dereference target that are broadcast.
-BROADCAST_ROWS = 50_000
+#: Most bytes of a dereference target that are broadcast, counted row by row.
+BROADCAST_BYTES = 8 << 20
 
 
 def condition(df: DataFrame, table: Table, tree: Leaf | Node) -> Column:
@@ -31,13 +31,33 @@ def members(df: DataFrame, table: Table, view: View) -> DataFrame:
     return paths.keyed(df.where(condition(df, table, view.tree)), table).withColumn("order_value", order).where(F.col("order_value").isNotNull())
 
 
-def query(df: DataFrame, table: Table, view: View, limit: int = paths.LIMIT, cursor: tuple[object, str] | None = None, fields: tuple[str, ...] = ()) -> DataFrame:
-    """A page of the view. Descending order turns the (value, key) pair round, the key too."""
-    rows, (limit, _) = members(df, table, view), paths.limits(limit)
+def _order(view: View) -> list[Column]:
     v, k = F.col("order_value"), F.col("key")
-    order = [v.desc(), k.desc()] if view.desc else [v.asc(), k.asc()]
-    if view.topk:
-        rows = rows.orderBy(*order).limit(view.topk)
+    return [v.desc(), k.desc()] if view.desc else [v.asc(), k.asc()]
+
+
+def materialise(df: DataFrame, table: Table, view: View, path: str) -> None:
+    """Write the view's members (the first TOPK of them) as Parquet in view order; again whenever the table has changed (REBUILD).
+
+    Files follow the order, so a page reads the row groups that its bounds touch.
+    """
+    if not view.materialized:
+        raise Refused(f"{view.name} is not MATERIALIZED")
+    rows = members(df, table, view)
+    (rows.orderBy(*_order(view)).limit(view.topk) if view.topk else rows.orderBy(*_order(view))).write.mode("overwrite").parquet(path)
+
+
+def query(df: DataFrame, table: Table, view: View, limit: int = paths.LIMIT, cursor: tuple[object, str] | None = None, fields: tuple[str, ...] = (), stored: str | None = None) -> DataFrame:
+    """A page of the view, computed, or read where materialise() has stored it. Descending order turns the (value, key) pair round, the key too."""
+    limit, _ = paths.limits(limit)
+    v, k = F.col("order_value"), F.col("key")
+    order = _order(view)
+    if stored is not None:
+        rows = df.sparkSession.read.parquet(stored)
+    else:
+        rows = members(df, table, view)
+        if view.topk:
+            rows = rows.orderBy(*order).limit(view.topk)
     if cursor:
         after = v < cursor[0] if view.desc else v > cursor[0]
         rows = rows.where(after | ((v == cursor[0]) & (k < cursor[1] if view.desc else k > cursor[1])))
@@ -57,10 +77,11 @@ def template(text: str, key: Column) -> Column:
 def via(rows: DataFrame, target: DataFrame, text: str | Column, fields: tuple[str, ...], key: str = "key") -> DataFrame:
     """Left lookup of each member's target row by key; a missing target gives nulls, a member is never lost.
 
-    `target` has a unique column `key`. It is broadcast only if counting shows at most BROADCAST_ROWS rows.
+    `target` has a unique column `key`. It is broadcast only if its rows sum up to BROADCAST_BYTES at most.
     """
     wanted = target.select(F.col("key").alias("_target"), *[F.col(f).alias(f"via_{f}") for f in fields])
-    if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in wanted.columns), F.lit(64))
+    if (wanted.agg(F.sum(width)).first()[0] or 0) <= BROADCAST_BYTES:
         wanted = F.broadcast(wanted)
     at = template(text, F.col(key)) if isinstance(text, str) else text
     return rows.join(wanted, at == F.col("_target"), "left").drop("_target")

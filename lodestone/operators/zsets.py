@@ -89,11 +89,17 @@ def without_scores(z: DataFrame, low, high) -> DataFrame:
 
 def pop_min(z: DataFrame, n: int, below: float | None = None) -> tuple[DataFrame, DataFrame]:
     """(popped, rest): for each key the n lowest members, only those with a score under `below` if given."""
-    ranked = z.withColumn("_r", F.row_number().over(_by_rank()))
-    out = F.col("_r") <= n
-    if below is not None:
-        out &= F.col("score") < below
-    return ranked.where(out).drop("_r"), ranked.where(~out).drop("_r")
+    # tasks keep their own n lowest before a key meets in one place; the rest is never ranked
+    out = z.withColumn("_r", F.row_number().over(_by_rank())).where(F.col("_r") <= n).drop("_r")
+    out = out if below is None else out.where(F.col("score") < below)
+    return out, z.join(out.select("key", "member"), ["key", "member"], "left_anti")
+
+
+def scan(z: DataFrame, key: str, pattern: str = "*") -> DataFrame:
+    """(member, score) of a set, members that match a glob."""
+    from lodestone.operators.keys import like
+
+    return z.where((F.col("key") == key) & like(F.col("member"), pattern)).select("member", "score")
 
 
 def add(z: DataFrame, new: DataFrame, nx: bool = False, xx: bool = False, gt: bool = False, lt: bool = False, incr: bool = False) -> DataFrame:

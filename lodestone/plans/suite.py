@@ -331,7 +331,7 @@ def prefix_stats(spark, d):
     return keys.prefix_stats(_keyspace(spark, d), "orders:")
 
 
-@query()
+@query(f"WITH {_KEYSPACE}, r AS (SELECT octet_length(encode(key)) || ':' || key || octet_length(encode(type)) || ':' || type || coalesce(octet_length(encode(value)) || ':' || value, '-1:') AS t FROM ks WHERE starts_with(key, 'orders:')) SELECT count(*) AS n, coalesce(bit_xor(CAST('0x' || substr(md5(t), 1, 15) AS BIGINT)), 0) AS digest FROM r")
 def prefix_digest(spark, d):
     return keys.digest(_keyspace(spark, d), "orders:", "type", "value")
 
@@ -604,20 +604,22 @@ _KINDS = "(SELECT DISTINCT event_type FROM events ORDER BY event_type)"
 
 
 def _kinds(spark: SparkSession, d: str) -> list[str]:
-    return [r[0] for r in load(spark, d, "events").select("event_type").distinct().orderBy("event_type").limit(2).collect()]
-
+    return [r[0] for r in load(spark, d, "events").select("event_type").distinct().orderBy("event_type").collect()]
 
-def _pair(op: str) -> str:
-    side = lambda k: f"SELECT CAST(user_id AS VARCHAR) AS member FROM events WHERE event_type = (SELECT event_type FROM {_KINDS} LIMIT 1 OFFSET {k})"
-    return f"{side(0)} {op} {side(1)}"
 
+_FIRST = f"event_type = (SELECT event_type FROM {_KINDS} LIMIT 1)"
+_SETS = {
+    "union": "SELECT DISTINCT CAST(user_id AS VARCHAR) AS member FROM events",
+    "inter": "SELECT CAST(user_id AS VARCHAR) AS member FROM events GROUP BY user_id HAVING count(DISTINCT event_type) = (SELECT count(DISTINCT event_type) FROM events)",
+    "diff": f"SELECT CAST(user_id AS VARCHAR) AS member FROM events GROUP BY user_id HAVING count(*) FILTER ({_FIRST}) > 0 AND count(*) FILTER (NOT {_FIRST}) = 0",
+}
 
-for _op, _sql in (("union", "UNION"), ("inter", "INTERSECT"), ("diff", "EXCEPT")):
+for _op, _sql in _SETS.items():
 
     def _setop(spark, d, op=_op):
         return getattr(sets, op)([_users(spark, d, k) for k in _kinds(spark, d)])
 
-    QUERIES[f"set_{_op}"], ORACLES[f"set_{_op}"] = _setop, _pair(_sql)
+    QUERIES[f"set_{_op}"], ORACLES[f"set_{_op}"] = _setop, _sql
 
 
 @query("SELECT event_type AS key, count(DISTINCT user_id) AS n FROM events GROUP BY event_type")
@@ -1001,3 +1003,99 @@ def set_remove(spark, d):
 @query(f"WITH {_PLACES} SELECT member FROM p WHERE 2 * 6372797.560856::DOUBLE * asin(sqrt(sin(radians(lat - 10) / 2) ** 2)) <= 1000000 AND 2 * 6372797.560856::DOUBLE * asin(sqrt(cos(radians(lat)) ** 2 * sin(radians(lon - 20) / 2) ** 2)) <= 2000000")
 def geo_box(spark, d):
     return geo.search(_places(spark, d), 20.0, 10.0, box=(4000, 2000), unit="km").select("member")
+
+
+_FIRST_1000 = "f AS (SELECT *, row_number() OVER (ORDER BY ms, seq) AS r FROM s)"
+
+
+def _short_log(spark: SparkSession, d: str, actions: list[tuple]) -> DataFrame:
+    return spark.createDataFrame(actions, "grp string, action string, ms long, seq long, consumer string, at long, no long")
+
+
+@query(f"WITH {_STREAM}, {_FIRST_1000} SELECT 'alice' AS consumer, ms, seq FROM f WHERE r <= 300 UNION ALL SELECT 'carol', ms, seq FROM f WHERE r > 500 AND r <= 700")
+def group_read(spark, d):
+    """Three reads of a new group, the second without pending entries: no entry comes twice."""
+    s = _stream(spark, d)
+    log = entries.create_group(_short_log(spark, d, []), "g", "0", 1)
+    for k, (consumer, n) in enumerate((("alice", 300), ("bob", 200), ("carol", 200))):
+        _, log = entries.read_group(s, log, "g", n, consumer, 2 + k, noack=consumer == "bob")
+    return entries.pending(log).select("consumer", "ms", "seq")
+
+
+@query(f"WITH {_STREAM}, {_FIRST_1000} SELECT ms, seq, event_id FROM f WHERE r <= 50 AND event_id % 4 <> 0 ORDER BY ms, seq LIMIT 20")
+def group_replay(spark, d):
+    """What a consumer has read and not settled, acks in the millisecond of the delivery included."""
+    s = _stream(spark, d)
+    got, log = entries.read_group(s, _short_log(spark, d, []), "g", 50, "alice", 5)
+    log = entries.ack(log, "g", got.where("event_id % 4 = 0"), 5)
+    return entries.replay(s, log, "g", "alice", count=20).select("ms", "seq", "event_id")
+
+
+@query(f"WITH {_STREAM}, {_FIRST_1000} SELECT CASE WHEN event_id % 3 = 0 THEN 'bob' ELSE 'alice' END AS consumer, count(*) AS pending, CASE WHEN event_id % 3 = 0 THEN 0 ELSE 90 END::BIGINT AS idle FROM f WHERE r <= 100 GROUP BY 1, 3")
+def group_claim(spark, d):
+    """Entries claimed by id; each consumer's pending entries and idle time."""
+    s = _stream(spark, d)
+    got, log = entries.read_group(s, _short_log(spark, d, []), "g", 100, "alice", 10)
+    log = entries.claim(log, "g", "bob", got.where("event_id % 3 = 0"), 100, least=50)
+    return entries.consumers(log, 100).select("consumer", "pending", "idle")
+
+
+@query(f"WITH {_STREAM}, {_FIRST_1000} SELECT ms, seq FROM f WHERE r > 5 AND r <= 15")
+def group_cursor(spark, d):
+    """A group that is set back reads again from there; a deleted consumer leaves nothing pending."""
+    s = _stream(spark, d)
+    got, log = entries.read_group(s, _short_log(spark, d, []), "g", 40, "alice", 10)
+    fifth = got.orderBy("ms", "seq").limit(5).collect()[-1]
+    _, log = entries.delete_consumer(log, "g", "alice", 11)
+    log = entries.set_cursor(log, "g", f"{fifth.ms}-{fifth.seq}", 12)
+    return entries.pending(entries.read_group(s, log, "g", 10, "bob", 13)[1]).select("ms", "seq")
+
+
+@query(f"WITH {_KEYSPACE} SELECT key FROM ks WHERE starts_with(key, 'orders:') ORDER BY key LIMIT 60")
+def keys_scan_pages(spark, d):
+    """A walk by cursor: two pages of forty and twenty keys."""
+    ks = _keyspace(spark, d).where(F.col("key").startswith("orders:"))
+    first, at = keys.scan_page(ks, None, 40)
+    return first.unionByName(keys.scan_page(ks, at, 20)[0]).select("key")
+
+
+@query(f"WITH {_KEYSPACE} SELECT 'customer:copy' AS key, value FROM ks WHERE key = 'customer:5' UNION ALL SELECT key, CASE WHEN key = 'customer:1' THEN 'new' ELSE value END FROM ks WHERE starts_with(key, 'customer:') AND key <> 'customer:2'")
+def strings_getset_copy(spark, d):
+    ks = _keyspace(spark, d).where(F.col("key").startswith("customer:")).select("key", "value", "expire_at")
+    _, ks = keys.get_set(ks, "customer:1", "new")
+    _, ks = keys.get_del(ks, "customer:2")
+    return keys.copy(ks, "customer:5", "customer:copy").select("key", "value")
+
+
+@query(f"WITH {_KEYSPACE} SELECT key, value || CASE WHEN key = 'customer:3' THEN '!' ELSE '' END AS value FROM ks WHERE starts_with(key, 'customer:')")
+def strings_append(spark, d):
+    return keys.append(_keyspace(spark, d).where(F.col("key").startswith("customer:")).select("key", "value"), "customer:3", "!")
+
+
+@query("SELECT 'customer:' || c_custkey AS key, c_acctbal + 0.5::DOUBLE AS value FROM customer")
+def strings_incr_float(spark, d):
+    c = load(spark, d, "customer").select(F.concat(F.lit("customer:"), F.col("c_custkey")).alias("key"), F.col("c_acctbal").cast("string").alias("value"))
+    return keys.incr_float(c, c.select("key", F.lit(0.5).alias("delta"))).select("key", F.col("value").cast("double").alias("value"))
+
+
+@query(f"WITH {_ZSET} SELECT member, score FROM z WHERE key = 'F' AND starts_with(member, '1')")
+def zset_scan(spark, d):
+    return zsets.scan(_zset(spark, d), "F", "1*")
+
+
+@query(f"WITH {_ZSET}, r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score, member) AS r FROM z) SELECT key, member, score FROM r WHERE r > 7 OR score >= 120000")
+def zpop_rest(spark, d):
+    return zsets.pop_min(_zset(spark, d), 7, below=120000)[1].select("key", "member", "score")
+
+
+@query(f"WITH {_ZSET} SELECT 'zset' AS type, key, member AS item, score FROM z UNION ALL SELECT 'set', event_type, CAST(user_id AS VARCHAR), NULL FROM (SELECT DISTINCT event_type, user_id FROM events) UNION ALL SELECT 'string', 'customer:' || c_custkey, c_name, 7 FROM customer UNION ALL SELECT 'list', 'n:' || n_regionkey, string_agg(n_name, ',' ORDER BY n_name), NULL FROM nation GROUP BY n_regionkey")
+def dump_load_all(spark, d):
+    """Strings, lists, sets and sorted sets as command lines and back."""
+    c = load(spark, d, "customer").select(F.concat(F.lit("customer:"), F.col("c_custkey")).alias("key"), F.col("c_name").alias("value"), F.lit(7).cast("long").alias("expire_at"))
+    n = load(spark, d, "nation").groupBy(F.concat(F.lit("n:"), F.col("n_regionkey")).alias("key")).agg(F.sort_array(F.collect_list("n_name")).alias("items"))
+    e = load(spark, d, "events").select(F.col("event_type").alias("key"), F.col("user_id").cast("string").alias("member"))
+    lines = sources.dump_strings(c).unionByName(sources.dump_lists(n)).unionByName(sources.dump_sets(e)).unionByName(sources.dump_zsets(_zset(spark, d)))
+    back = sources.load_all(lines)
+    row = lambda kind, item, score: back[kind].select(F.lit(kind).alias("type"), "key", item.alias("item"), score.cast("double").alias("score"))
+    none = F.lit(None)
+    return row("zset", F.col("member"), F.col("score")).unionByName(row("set", F.col("member"), none)).unionByName(row("string", F.col("value"), F.col("expire_at"))).unionByName(row("list", F.array_join("items", ","), none))

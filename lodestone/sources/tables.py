@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.catalog import Table
@@ -48,11 +48,63 @@ def dump(df: DataFrame) -> DataFrame:
     return df.select(F.explode(F.filter(F.array(line, ttl), lambda x: x.isNotNull())).alias("value"))
 
 
-def load(lines: DataFrame) -> DataFrame:
-    """dump() lines in any order -> (key, fields, expire_at); of a field set twice in one line the last counts."""
-    words = F.regexp_extract_all(F.regexp_extract("value", r"^\S+ (.*)$", 1), F.lit(r'"(?:[^"\\]|\\.)*"|[0-9]+'), F.lit(0))
+def _arg(c) -> Column:
+    """An argument as a JSON string."""
+    quoted = F.to_json(F.array(c))
+    return F.substring(quoted, F.lit(2), F.char_length(quoted) - 2)
+
+
+def dump_strings(df: DataFrame) -> DataFrame:
+    """(key, value[, expire_at]) -> `SET key value` and deadlines."""
+    late = F.concat(F.lit("PEXPIREAT "), _arg("key"), F.lit(" "), F.col("expire_at").cast("string")) if "expire_at" in df.columns else F.lit(None).cast("string")
+    return df.select(F.explode(F.filter(F.array(F.concat(F.lit("SET "), _arg("key"), F.lit(" "), _arg("value")), late), lambda x: x.isNotNull())).alias("value"))
+
+
+def dump_lists(df: DataFrame) -> DataFrame:
+    """(key, items array) -> `RPUSH key item ..`; an empty list has no line."""
+    return df.where(F.size("items") > 0).select(F.concat(F.lit("RPUSH "), _arg("key"), F.lit(" "), F.array_join(F.transform("items", _arg), " ")).alias("value"))
+
+
+def dump_sets(df: DataFrame) -> DataFrame:
+    """(key, member) -> `SADD key member`, a line each, so that no set meets in one place."""
+    return df.select(F.concat(F.lit("SADD "), _arg("key"), F.lit(" "), _arg("member")).alias("value"))
+
+
+def dump_zsets(df: DataFrame) -> DataFrame:
+    """(key, member, score) -> `ZADD key score member`, a line each."""
+    return df.select(F.concat(F.lit("ZADD "), _arg("key"), F.lit(" "), _arg(F.col("score").cast("string")), F.lit(" "), _arg("member")).alias("value"))
+
+
+def _commands(lines: DataFrame) -> DataFrame:
+    """(line, verb, key, args): arguments after the key. Lines are in order of their column `line`, else as they are read."""
+    at = F.col("line") if "line" in lines.columns else F.monotonically_increasing_id()
+    words = F.regexp_extract_all(F.regexp_extract("value", r"(?s)^\S+ (.*)$", 1), F.lit(r'"(?:[^"\\]|\\.)*"|[0-9]+'), F.lit(0))
     args = F.from_json(F.concat(F.lit("["), F.array_join(words, ","), F.lit("]")), "array<string>")
-    rows = lines.select(F.split_part("value", F.lit(" "), F.lit(1)).alias("verb"), args.alias("a"))
-    pairs = F.transform(F.sequence(F.lit(1), F.size("a") - 2, F.lit(2)), lambda i: F.struct(F.get("a", i).alias("key"), F.get("a", i + 1).alias("value")))
-    rows = rows.select("verb", F.get("a", F.lit(0)).alias("key"), F.when(F.col("verb") == "HSET", F.map_from_entries(pairs)).alias("f"), F.when(F.col("verb") == "PEXPIREAT", F.get("a", F.lit(1)).cast("long")).alias("e"))
-    return rows.groupBy("key").agg(F.first("f", ignorenulls=True).alias("fields"), F.max("e").alias("expire_at"))
+    rows = lines.select(at.alias("line"), F.upper(F.split_part("value", F.lit(" "), F.lit(1))).alias("verb"), args.alias("a"))
+    return rows.select("line", "verb", F.get("a", F.lit(0)).alias("key"), F.slice("a", 2, 2147483647).alias("args"))
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    """(key, line, pos, one, two) of arguments that come in pairs."""
+    pairs = F.transform(F.sequence(F.lit(0), F.size("args") - 2, F.lit(2)), lambda i: F.struct(F.get("args", i).alias("one"), F.get("args", i + 1).alias("two")))
+    return rows.where(F.size("args") >= 2).select("key", "line", F.posexplode(pairs).alias("pos", "p")).select("key", "line", "pos", "p.one", "p.two")
+
+
+def load(lines: DataFrame) -> DataFrame:
+    """dump() lines -> (key, fields, expire_at); of a field set more than once, in a line or over lines, the last counts."""
+    rows = _commands(lines)
+    last = _pairs(rows.where("verb = 'HSET'")).groupBy("key", "one").agg(F.max_by("two", F.struct("line", "pos")).alias("two"))
+    fields = last.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("one", "two"))).alias("fields"))
+    late = rows.where("verb = 'PEXPIREAT'").groupBy("key").agg(F.max_by(F.get("args", F.lit(0)).cast("long"), "line").alias("expire_at"))
+    return fields.join(late, "key", "left")
+
+
+def load_all(lines: DataFrame) -> dict[str, DataFrame]:
+    """Lines of all dumps -> frames by type: hash, string (key, value, expire_at), list (key, items), set (key, member), zset (key, member, score)."""
+    rows = _commands(lines)
+    late = rows.where("verb = 'PEXPIREAT'").groupBy("key").agg(F.max_by(F.get("args", F.lit(0)).cast("long"), "line").alias("expire_at"))
+    strings = rows.where("verb = 'SET'").groupBy("key").agg(F.max_by(F.get("args", F.lit(0)), "line").alias("value")).join(late, "key", "left")
+    pushed = rows.where("verb = 'RPUSH'").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("line", "args"))).alias("x")).select("key", F.flatten(F.transform("x", lambda y: y["args"])).alias("items"))
+    members = rows.where("verb = 'SADD'").select("key", F.explode("args").alias("member")).distinct()
+    scores = _pairs(rows.where("verb = 'ZADD'")).groupBy("key", F.col("two").alias("member")).agg(F.max_by(F.col("one").cast("double"), F.struct("line", "pos")).alias("score"))
+    return {"hash": load(lines), "string": strings, "list": pushed, "set": members, "zset": scores}

@@ -165,3 +165,34 @@ def test_audits(spark, v):
     assert (row.rows, row.entries, row.absent, row.coerce_failures) == (6, 4, 1, 1)
     assert audits.doctor(audits.verify_table(v, Table("v", "v:", "id", V.columns, (Index("price", ("price",)),)))) == 1
     assert [(r.value, r.n) for r in audits.duplicates(v, Table("v", "v:", "id", V.columns, (Index("price", ("price",)),)), "price").collect()] == [(3, 2)]
+
+
+def test_double_bounds_reach_the_scan(spark, sf):
+    from lodestone.plans import suite
+
+    spark.conf.set("spark.sql.maxMetadataStringLength", 5000)
+    for name, wanted in (("range_scan", "o_totalprice"), ("orderpath_where", "o_totalprice"), ("filter_multi", "o_totalprice")):
+        plan = suite.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        line = next(x for x in plan.splitlines() if "PushedFilters" in x)
+        assert f"GreaterThanOrEqual({wanted}" in line and f"LessThanOrEqual({wanted}" in line, line
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+
+
+def test_nan_is_in_no_range(spark):
+    t = Table("n", "n:", "id", (("id", "i64"), ("x", "f64")), (Index("x", ("x",)),)).check()
+    df = spark.createDataFrame([(1, float("nan")), (2, float("inf")), (3, 1.0), (4, None)], "id long, x double")
+    assert sorted(r.id for r in paths.scalar(df, t, "x", float("-inf"), float("inf")).collect()) == [2, 3]
+
+
+def test_materialised_view(spark, sf, tmp_path):
+    from lodestone.operators import views
+    from lodestone.plans import suite
+
+    df = suite.orders(spark, sf)
+    view = View("top", "orders", Leaf("o_orderstatus", "F", None), "o_totalprice", desc=True, materialized=True, topk=50)
+    views.materialise(df, suite.ORDERS, view, str(tmp_path / "v"))
+    for cursor in (None, (300000.0, "orders:5")):
+        want = [r.key for r in views.query(df, suite.ORDERS, view, 20, cursor).collect()]
+        assert [r.key for r in views.query(df, suite.ORDERS, view, 20, cursor, stored=str(tmp_path / "v")).collect()] == want
+    with pytest.raises(Refused):
+        views.materialise(df, suite.ORDERS, View("v", "orders", view.tree, "o_totalprice"), str(tmp_path / "w"))

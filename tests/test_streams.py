@@ -100,3 +100,38 @@ def test_nothing_imports_the_training_data_subpackage():
             for node in ast.walk(ast.parse(f.read_text())):
                 names = [a.name for a in node.names] if isinstance(node, ast.Import) else [node.module or ""] if isinstance(node, ast.ImportFrom) else []
                 assert not any("llm" in n.split(".") for n in names), f
+
+
+def test_group_faults(spark, stream):
+    """NOACK moves the cursor, an ack ties with its delivery, streams of one group are apart, XSETID floors new ids."""
+    s = stream.where("stream = 's'")
+    log = spark.createDataFrame([], "stream string, grp string, action string, ms long, seq long, consumer string, at long, no long")
+    log = entries.create_group(log, "g", "0", 1, stream="s")
+    with pytest.raises(Refused):
+        entries.create_group(log, "g", "0", 1, stream="s")
+    got, log = entries.read_group(stream, log, "g", 1, "a", 5, noack=True, name="s")
+    assert ids(got) == [("s", 5, 0)]
+    got, log = entries.read_group(stream, log, "g", 1, "a", 5, name="s")
+    assert ids(got) == [("s", 5, 1)] and entries.pending(log).count() == 1
+    other, log = entries.read_group(stream, log, "g", 9, "a", 5, name="t")
+    assert ids(other) == ids(stream.where("stream = 't'"))
+    log = entries.ack(log, "g", got, 5, name="s")
+    assert {r.stream for r in entries.pending(log).collect()} == {"t"}
+    forced = entries.claim(log, "g", "b", got, 6, force=True, name="s")
+    assert {(r.consumer, r.n) for r in entries.pending(forced).where("stream = 's'").collect()} == {("b", 2)}
+    n, gone = entries.delete_consumer(forced, "g", "b", 7, stream="s")
+    assert n == 1 and entries.pending(gone).where("stream = 's'").count() == 0
+    assert entries.destroy_group(gone, "g", "t").where("stream = 't'").count() == 0
+    again = entries.set_cursor(gone, "g", "0", 8, "s")
+    assert entries.cursor(again, "g", "s") == (0, 0) and entries.cursor(gone, "g", "s") == (5, 1)
+    floor = spark.createDataFrame([("s", 9, 4)], "stream string, ms long, seq long")
+    new = spark.createDataFrame([("s", 9, 0, {"f": "v"})], "stream string, ms long, order long, fields map<string,string>")
+    assert ids(entries.add(None, new, last_ids=floor)) == [("s", 9, 5)]
+    with pytest.raises(Exception):  # noqa: B017
+        entries.add(s, new.withColumn("ms", F.lit(8).cast("long")), last_ids=floor).collect()
+
+
+def test_loads_merge_lines(spark):
+    lines = spark.createDataFrame([(1, 'HSET "k" "a" "1" "b" "2"'), (2, 'HSET "k" "a" "3" "a" "4"'), (0, 'HSET "k" "b" "0" "c" "9"'), (3, 'PEXPIREAT "k" 5')], "line long, value string")
+    got = tables.load(lines).first()
+    assert (got.fields, got.expire_at) == ({"a": "4", "b": "2", "c": "9"}, 5)
