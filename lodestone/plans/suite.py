@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone.catalog import Index, Leaf, Node, OrderPath, Registry, Table, View, Window
 from lodestone.functions import scalar as S
-from lodestone.operators import audits, bitmaps, geo, groups, hashes, keys, lists, paths, sets, text, vectors, views, zsets
+from lodestone.operators import audits, bitmaps, geo, groups, hashes, keys, lists, paths, sets, text, text_index, vectors, views, zsets
 from lodestone.plans import ddl, fold
 from lodestone.sources import tables as sources
 from lodestone.streaming import entries, feed, live
@@ -543,6 +543,39 @@ def bm25_scoped(spark, d):
     return _top(text.match_texts(_docs(spark, d), "src3", ("text", "source"), within=("source",)), 1000)
 
 
+_indexes: dict[tuple[str, str, tuple[str, ...]], str] = {}
+
+
+def _index(spark: SparkSession, d: str, fields: tuple[str, ...]) -> str:
+    """Path of the stored index of some fields of a folder's documents, built once for an application, in the shared folder."""
+    context = spark.sparkContext
+    at = (context.applicationId, d, fields)
+    if at not in _indexes:
+        root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_indexes"
+        folder = f"{root.rstrip('/')}/lodestone-index-{context.applicationId}"
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
+        text_index.build(_docs(spark, d), f"{folder}/{len(_indexes)}", fields)
+        _indexes[at] = f"{folder}/{len(_indexes)}"
+    return _indexes[at]
+
+
+for _name, _terms, _query, _limit in (("or", "license reserved version", "License reserved VERSION license", 20), ("one", "license", "license", 20)):
+
+    def _indexed(spark, d, _query=_query, _limit=_limit):
+        return _top(text_index.match(spark, _index(spark, d, ("text",)), _query), _limit)
+
+    _in = ", ".join(f"'{t}'" for t in _terms.split())
+    QUERIES[f"bm25_indexed_{_name}"], ORACLES[f"bm25_indexed_{_name}"] = _indexed, f"WITH {_POSTINGS}, {_bm25(f'term IN ({_in})')} SELECT key, score FROM sc ORDER BY score DESC, key LIMIT {_limit}"
+
+for _name, _query in (("prefix", "licen*"), ("phrase", '"apache license"')):
+
+    def _indexed(spark, d, _query=_query):
+        return _top(text_index.match(spark, _index(spark, d, ("text",)), _query), 20)
+
+    QUERIES[f"bm25_indexed_{_name}"], ORACLES[f"bm25_indexed_{_name}"] = _indexed, ORACLES[f"bm25_{_name}"]
+
+
 @query(f"WITH {_POSTINGS}, m AS (SELECT DISTINCT key FROM tokens_ WHERE term = 'license') SELECT lang AS value, count(*) AS n FROM m JOIN documents ON m.key = 'documents:' || doc_id WHERE source <> 'src1' GROUP BY lang")
 def bm25_filter_facet(spark, d):
     found = text.match(_post(spark, d), "license").join(_docs(spark, d).select("key", "lang", "source"), "key").where("source <> 'src1'")

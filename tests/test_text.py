@@ -76,3 +76,25 @@ def test_vectors(spark):
     a = spark.createDataFrame([("x", 1), ("y", 2)], "key string, rank int")
     b = spark.createDataFrame([("y", 1), ("z", 2)], "key string, rank int")
     assert [r.key for r in vectors.rrf([a, b]).collect()] == ["y", "x", "z"]
+
+
+def test_stored_index_agrees_with_texts(spark, tmp_path):
+    from lodestone.operators import text_index
+
+    df = spark.createDataFrame([(f"p:{k}", " ".join(["rust", "search", "licence", "text", "rusty"][: k % 6] * (k % 3 + 1)), "rust" if k % 4 == 0 else None) for k in range(60)], "key string, body string, title string")
+    at = str(tmp_path / "index")
+    text_index.build(df, at, ("body", "title"), buckets=5)
+    for q, within, weights, typo in (("rust text", (), None, 0), ("rust", ("title",), None, 0), ("ru*", ("body",), None, 0), ('"search licence" text', (), {"title": 5.0}, 0), ("rustt", (), None, 1), ("nothing", (), None, 0)):
+        assert scores(text_index.match(spark, at, q, within, weights, typo)) == scores(text.match_texts(df, q, ("body", "title"), within, weights, typo)), q
+    plan = text_index.match(spark, at, "rust")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
+    with pytest.raises(Refused):
+        text_index.match(spark, at, "x", ("other",))
+    text_index.build(df.limit(0), str(tmp_path / "none"), ("body",))
+    assert text_index.match(spark, str(tmp_path / "none"), "rust").count() == 0
+
+
+def test_typos_count_bytes(spark):
+    df = frame(spark, ["cafe", "café", "caff"])
+    assert sorted(scores(text.match_texts(df, "cafe", ("body",), typo=1))) == ["p:1", "p:3"]
+    assert sorted(scores(text.match_texts(df, "cafe", ("body",), typo=2))) == ["p:1", "p:2", "p:3"]
