@@ -44,14 +44,13 @@ def assign(df: DataFrame, ident: str = "doc_id", size: str | None = None, text:
     sums = {r[0]: r[1] for r in rows.groupBy(shard.alias("shard")).agg(F.sum(weight)).collect()}  # a row for each shard
     parts = [max(1, -(-(sums.get(s) or 0) // bucket_bytes)) for s in range(shards)]
     heavy = stash(rows.groupBy(whole.alias(own)).agg(F.sum(weight).alias("w"), F.count("*").alias("m")).where((F.col("w") > bucket_bytes) & (F.col("m") > 1)).select(own))
-    per_shard, before = (F.element_at(F.array(*[F.lit(int(x)) for x in xs]), F.col("shard") + 1) for xs in (parts, [sum(parts[:s]) for s in range(shards)]))
+    per_shard = F.element_at(F.array(*[F.lit(int(x)) for x in parts]), F.col("shard") + 1)
     placed = rows.select(F.struct(*rows.columns).alias(rec), shard.alias("shard"), whole.alias(own))
     if heavy.count():  # no more of them than buckets
         place = placed.withColumn(n, F.monotonically_increasing_id()).join(small(heavy.withColumn(part, F.lit(1)), 16), own, "left")
         placed = place.select(rec, "shard", F.when(F.col(part).isNotNull(), F.xxhash64(own, n)).otherwise(F.col(own)).alias(own))
-    # pass 1: one partition a bucket; dealt by number, so Spark keeps them and reruns agree
-    scattered = placed.select(rec, "shard", F.pmod(F.col(own), per_shard).cast("int").alias("bucket"))
-    scattered = scattered.repartitionById(sum(parts), (before + F.col("bucket")).cast("int"))
+    # pass 1: twice as many partitions as buckets, so that few share one; the count is given, so Spark keeps it and reruns agree
+    scattered = placed.select(rec, "shard", F.pmod(F.col(own), per_shard).cast("int").alias("bucket")).repartition(2 * sum(parts), "shard", "bucket")
     # pass 2: arrays and buckets are sorted first, as the shuffle draws from one sequence a partition; so arrival decides nothing
     buckets = scattered.groupBy("shard", "bucket").agg(F.sort_array(F.collect_list(rec)).alias(rec)).sortWithinPartitions("shard", "bucket")
     buckets = stash(buckets.select("shard", "bucket", F.shuffle(rec, seed).alias(rec)).withColumn(n, F.size(rec)))
