@@ -5,7 +5,7 @@ A pre-token's encoding is the only sequence of vocabulary tokens in which every
 compatible, i.e. merging their joined bytes gives just these two tokens. So the encoder takes the longest
 token at each position, keeps it if it is compatible with the one before, else tries the next shorter
 one, and steps back when none is left; a position that was left once is never tried again, which keeps the
-work linear. Pair decisions are memoised.
+work linear. Pair decisions are memoised. Nothing is kept for a place but a byte, so long pre-tokens need little memory.
 """
 
 from __future__ import annotations
@@ -42,6 +42,9 @@ class Codec:
         for t, r in self.ranks.items():
             self.automaton.add_word(t.decode("latin-1"), (r, len(t)))
         self.automaton.make_automaton()
+        self.by_chars = {t.decode("latin-1"): r for t, r in self.ranks.items()}
+        self.most = max(map(len, self.ranks))
+        self.prefixes: dict[int, int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
         self.pairs: dict[int, bool] = {}
         self.older_pairs: dict[int, bool] = {}
@@ -110,29 +113,40 @@ class Codec:
             last = t
         return tuple(greedy)
 
+    def longest(self, chars: str, at: int) -> int:
+        """The longest token that begins at a place."""
+        found = chars[at : at + self.automaton.longest_prefix(chars[at : at + self.most])]
+        while (r := self.by_chars.get(found)) is None:  # the way to a longer token need not be one itself
+            found = found[:-1]
+        return r
+
+    def shorter(self, token: int) -> int:
+        """The longest token that another one begins with, or -1."""
+        if (known := self.prefixes.get(token)) is None:
+            raw, known = self.tokens[token], -1
+            for k in range(len(raw) - 1, 0, -1):
+                if (known := self.ranks.get(raw[:k], -1)) >= 0:
+                    break
+            self.prefixes[token] = known
+        return known
+
     def _backtrack(self, chars: str) -> tuple[int, ...]:
-        starts: list[list[tuple[int, int]]] = [[] for _ in chars]
-        for end, (r, size) in self.automaton.iter(chars):
-            starts[end - size + 1].append((r, size))  # ends ascend, so each list ascends by length
-        n, at, out, choice = len(chars), 0, [], len(starts[0]) - 1
+        n, at, out, tokens = len(chars), 0, [], self.tokens
         left_once = bytearray(n + 1)
-        tried: list[int] = []
+        r = self.longest(chars, 0)
         while at < n:
-            while choice >= 0:
-                r, size = starts[at][choice]
-                if not left_once[at + size] and (not out or self.compatible(out[-1], r)):
-                    break
-                choice -= 1
-            if choice >= 0:
+            while r >= 0 and (left_once[at + len(tokens[r])] or (out and not self.compatible(out[-1], r))):
+                r = self.shorter(r)
+            if r >= 0:
                 out.append(r)
-                tried.append(choice)
-                at += size
-                choice = len(starts[at]) - 1 if at < n else 0
+                at += len(tokens[r])
+                if at < n:
+                    r = self.longest(chars, at)
             else:
                 left_once[at] = 1
-                choice = tried.pop()
-                at -= len(self.tokens[out.pop()])
-                choice -= 1
+                r = out.pop()
+                at -= len(tokens[r])
+                r = self.shorter(r)
         return tuple(out)
 
     def encode(self, text: str) -> list[int]:
