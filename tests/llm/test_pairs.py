@@ -3,16 +3,19 @@
 import hashlib
 import math
 import random
+import re
 from collections import Counter
 
 import duckdb
 import numpy as np
+import public_tokenizers
 import pytest
+import tiktoken
 import xxhash
 
 import corpus_pipeline
-from lodestone.llm import backoff, components, embeddings, queries, simhash, suffixes
-from tests.llm.test_rowwise import edge_rows, SCHEMA
+from lodestone.llm import backoff, bpe, components, embeddings, ordinal, queries, simhash, suffixes
+from tests.llm.test_rowwise import edge_rows, fill, SCHEMA
 
 
 @pytest.fixture(scope="module")
@@ -321,26 +324,89 @@ def test_sql(spark, sf, name):
     assert sorted(line(r, df.columns) for r in df.collect()) == sorted(line(r, columns) for r in cursor.fetchall())
 
 
+def slow_runs(rows, window):
+    """Maximal removed runs of each (id, text), judged in order of id."""
+    seen, out = set(), []
+    for _, text in rows:
+        raw = (text or "").encode()
+        cut = bytearray(len(raw))
+        for i in range(len(raw) - window + 1):
+            if raw[i : i + window] in seen:
+                cut[i : i + window] = b"\1" * window
+            seen.add(raw[i : i + window])
+        out.append([m.span() for m in re.finditer(b"\1+", bytes(cut))])
+    return out
+
+
+def slow_mix(rows):
+    """How often each row comes: targets dealt again and again, draws from MD5."""
+    words = {i: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for i, r in rows.items()}
+    sources = sorted({r.source for r in rows.values()}, key=lambda x: (x is None, x or ""))
+    total = [sum(n for i, n in words.items() if rows[i].source == x) for x in sources]
+    rate = {x: t / n if n else 0.0 for x, t, n in zip(sources, fill(total), total, strict=True)}
+    out = {}
+    for i, r in rows.items():
+        digest = "null" if r.text is None else hashlib.md5(r.text.encode()).hexdigest()
+        u = int(hashlib.md5(f"7:{i}:{digest}".encode()).hexdigest()[:13], 16) / 2**52
+        out[i] = math.floor(rate[r.source]) + (u < rate[r.source] % 1)
+    return out
+
+
 def test_pipeline(spark, sf):
-    """Each stage against what its operator's brute-force version makes of the stage's own input."""
+    """Each stage against what a brute-force version makes of the stage's own input, and run() against the stages."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     columns = docs.columns
+    weights, cuts = ordinal.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    features = ordinal.Features()
     for name, stage in corpus_pipeline.STAGES[:-1]:
         before, after = docs, corpus_pipeline.stash(stage(spark, docs, sf))
         assert after.columns == columns, name
         old, new = {r.doc_id: r for r in before.collect()}, after.collect()
+        ids = sorted(old)
+        if name == "quality":
+            score = {i: sum(np.float32(weights[a]) * b for a, b in zip(*features(r.text or ""), strict=True)) for i, r in old.items()}
+            sure = [i for i in ids if abs(score[i] - cuts[-1]) > 1e-4]
+            assert sorted({r.doc_id for r in new} & set(sure)) == [i for i in sure if score[i] >= cuts[-1]] and len(new) < len(ids)
         if name == "near_duplicates":
-            sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (r.text or "").encode().lower().split()) else set() for i, r in old.items()}
-            ids = sorted(old)
-            same = lambda a, b: not a and not b or len(a & b) >= 0.8 * len(a | b) > 0
-            top = roots([(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if same(sets[a], sets[b])], ids)
-            assert sorted(r.doc_id for r in new) == sorted(i for i in ids if top[i] == i)
+            top = roots(slow_similar([(i, r.text) for i, r in old.items()]), ids)
+            assert sorted(r.doc_id for r in new) == [i for i in ids if top[i] == i]
         if name == "repeated_passages":
-            ids = sorted(old)
-            want = slow_repeats([(i, old[i].text) for i in ids], 100)
             got = {r.doc_id: r for r in new}
-            for i, (size, removed, _, _) in zip(ids, want, strict=True):
-                assert abs(len(got[i].text.encode()) - (size - removed)) <= 6
+            for i, runs in zip(ids, slow_runs([(i, old[i].text) for i in ids], 100), strict=True):
+                want = slow_text(old[i].text.encode(), runs)
+                assert (got[i].text, got[i].n_chars) == (want, len(want) if want != old[i].text else old[i].n_chars)
+        if name == "mix":
+            assert Counter(r.doc_id for r in new) == +Counter(slow_mix(old))
+        if name != "repeated_passages":
+            assert all(tuple(r) == tuple(old[r.doc_id]) for r in new)  # rows pass unchanged
         docs = after
-    out = corpus_pipeline.run(spark, sf)
-    assert out.count() == docs.count() and "n_tokens" in out.columns
+    ranks = bpe.read_ranks(open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb").read())
+    ref = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = []
+    for r in docs.collect():
+        got = ref.encode_ordinary(r.text or "")
+        want.append((r.doc_id, r.source, len(got), hashlib.sha256(" ".join(map(str, got)).encode()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest()))
+    out = corpus_pipeline.run(spark, sf).select("doc_id", "source", "n_tokens", "ids_sha256", "decoded_sha256")
+    assert sorted(map(tuple, out.collect())) == sorted(want)
+
+
+def test_pipeline_edges(spark, sf):
+    """Nulls, empty texts, repeated rows, an empty table and clashing names in every stage that returns documents."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string, n_removed int, fingerprint string, size int, KEPT_TEXT double"
+    text = "several plain words in a row that nothing rejects at all " * 4
+    rows = [(1, text, "en", "a", len(text), "x", 1, "f", 2, 0.5), (None, None, None, None, None, None, None, None, None, None), (2, "", "en", "a", 0, "y", 2, "g", 3, 1.5), (2, "", "en", "a", 0, "y", 2, "g", 3, 1.5), (3, text + "more", None, "b", 9, "z", 4, "h", 5, 2.5)]
+    for n in (len(rows), 0):
+        docs = spark.createDataFrame(rows[:n], schema)
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, sf)
+            got = out.collect()
+            if name != "tokens":
+                assert out.columns == docs.columns, name
+                if name != "repeated_passages":
+                    assert all(tuple(r) in rows for r in got), name
+                else:
+                    assert len(got) == n and all(r.n_removed == q[6] and r.kept == q[5] for r in got for q in rows if q[0] == r.doc_id)
+            else:
+                assert len(got) == n
+            if name == "near_duplicates" and n:
+                assert sorted(str(r.doc_id) for r in got) == ["1", "2"]  # wordless texts are one class, the smallest id stays
