@@ -46,6 +46,14 @@ def verify_stored(df: DataFrame, stored: DataFrame, table: Table, index: str) ->
     return both.agg(F.count("now").alias("checked"), F.count_if(F.col("then").isNull()).alias("missing"), F.count_if(F.col("now").isNull()).alias("stale"), F.count_if(F.col("now") != F.col("then")).alias("drift"))
 
 
+def spot_check(df: DataFrame, stored: DataFrame, table: Table, index: str, n: int = 64) -> DataFrame:
+    """Up to n rows (the feature's limit) with the smallest hashes of their keys, their value and the stored one: (key, value, stored, same)."""
+    v = paths.value(df, table, table.index(index).fields[0])
+    picked = paths.keyed(df, table).select("key", v.alias("value")).where("value is not null").orderBy(F.xxhash64("key"), "key").limit(n)
+    both = stored.select("key", F.col("value").alias("stored")).join(F.broadcast(picked), "key", "right")
+    return both.select("key", "value", "stored", F.col("value").eqNullSafe(F.col("stored")).alias("same"))
+
+
 def window_parts(df: DataFrame, table: Table) -> DataFrame:
     """Buckets of a table's WINDOW: (bucket, rows, hot). A bucket is hot if it begins within `span` of the newest."""
     w = table.window

@@ -103,6 +103,11 @@ def search(df: DataFrame, lon: float, lat: float, radius: float | None = None, b
     return rows if count is None else rows.limit(count)
 
 
+def store(found: DataFrame, key: str, with_dist: bool = False) -> DataFrame:
+    """A search's result as a sorted set (key, member, score): scores are cells, or distances in the search's unit."""
+    return found.select(F.lit(key).alias("key"), "member", F.col("dist" if with_dist else "score").cast("double").alias("score"))
+
+
 def search_by_member(df: DataFrame, member: str, **area) -> DataFrame:
     """The same round a member; no row if it isn't there. One row is read first: its position bounds the scan."""
     at = df.where(F.col("member") == member).select("lon", "lat").first()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -27,9 +28,9 @@ def tokens(text: Column) -> Column:
     return F.when(text.rlike(f"[{CJK}]"), F.flatten(F.transform(runs, one))).otherwise(plain)
 
 
-def postings(df: DataFrame, fields: tuple[str, ...], key: str = "key") -> DataFrame:
+def postings(df: DataFrame, fields: tuple[str, ...], key: str = "key", cut: Tokenizer | None = None) -> DataFrame:
     """(key, field, pos, term): one row per token. Write it as Parquet to search it again and again."""
-    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.coalesce(F.col(f), F.lit(""))).alias("t")) for f in fields]))
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), (cut or WORDS).column(F.coalesce(F.col(f), F.lit(""))).alias("t")) for f in fields]))
     return df.select(F.col(key).alias("key"), each.alias("f")).select("key", F.col("f.field").alias("field"), F.posexplode("f.t").alias("pos", "term"))
 
 
@@ -57,12 +58,23 @@ def query_tokens(text: str) -> list[str]:
     return out
 
 
-def parse(text: str, positions: bool = True) -> Query:
+@dataclass(frozen=True)
+class Tokenizer:
+    """How texts are cut: the terms of a column, and of a query on the driver. Both must cut alike."""
+
+    column: Callable[[Column], Column]
+    query: Callable[[str], list[str]]
+
+
+WORDS = Tokenizer(tokens, query_tokens)
+
+
+def parse(text: str, positions: bool = True, cut: Tokenizer = WORDS) -> Query:
     """"quoted phrases", prefix* and bare terms."""
     phrases, prefixes, terms = [], [], []
     for m in re.finditer(r'"([^"]*)"|(\S+)\*(?=\s|$)|(\S+)', text):
         if m[1] is not None:
-            got = tuple(query_tokens(m[1]))
+            got = tuple(cut.query(m[1]))
             if len(got) > 1:
                 if not positions:
                     raise Refused("a phrase needs WITH POSITIONS")
@@ -72,7 +84,7 @@ def parse(text: str, positions: bool = True) -> Query:
         elif m[2]:
             prefixes.append(re.sub(r"[A-Z]", lambda c: c[0].lower(), m[2]))
         else:
-            terms += query_tokens(m[3])
+            terms += cut.query(m[3])
     return Query(tuple(sorted(set(terms))), tuple(dict.fromkeys(phrases)), tuple(dict.fromkeys(prefixes)))
 
 
@@ -101,7 +113,7 @@ def expand(post: DataFrame, query: Query, typo: int = 0) -> DataFrame:
     return post.select("term").where(test).distinct()
 
 
-def match(post: DataFrame, text: str, fields: tuple[str, ...] = (), weights: dict[str, float] | None = None, typo: int = 0) -> DataFrame:
+def match(post: DataFrame, text: str, fields: tuple[str, ...] = (), weights: dict[str, float] | None = None, typo: int = 0, cut: Tokenizer = WORDS) -> DataFrame:
     """(key, score) of every match of a query in postings.
 
     fields: score within these only (lengths, frequencies, averages; the number of documents stays). weights:
@@ -109,7 +121,7 @@ def match(post: DataFrame, text: str, fields: tuple[str, ...] = (), weights: dic
     token count nowhere. One aggregate for the statistics and one for the matches; only matched terms are
     grouped by document.
     """
-    query = parse(text)
+    query = parse(text, cut=cut)
     n = post.agg(F.countDistinct("key").alias("n"))
     scope = post.where(F.col("field").isin(*fields)) if fields else post
     lengths = scope.groupBy("key").agg(F.count("*").alias("dl"))
@@ -130,13 +142,13 @@ def match(post: DataFrame, text: str, fields: tuple[str, ...] = (), weights: dic
     return out
 
 
-def match_texts(df: DataFrame, text: str, fields: tuple[str, ...], within: tuple[str, ...] = (), weights: dict[str, float] | None = None, typo: int = 0, key: str = "key") -> DataFrame:
+def match_texts(df: DataFrame, text: str, fields: tuple[str, ...], within: tuple[str, ...] = (), weights: dict[str, float] | None = None, typo: int = 0, key: str = "key", cut: Tokenizer = WORDS) -> DataFrame:
     """match() straight from texts: (key, score) of every match, without postings.
 
     Tokens stay arrays in their row; only those that match are exploded. `within` narrows the score to some of the
     fields. One scan for the statistics (a single row) and one for the matches.
     """
-    query = parse(text)
+    query = parse(text, cut=cut)
     exact = sorted({*query.terms, *(t for p in query.phrases for t in p)})
 
     def wanted(t: Column) -> Column:
@@ -152,8 +164,8 @@ def match_texts(df: DataFrame, text: str, fields: tuple[str, ...], within: tuple
         raise Refused("TYPO is 0, 1 or 2")
     scope = [i for i, f in enumerate(fields) if f in (within or fields)]
     # the one-element explode makes Spark compute the tokens of a row once
-    cut = F.explode(F.array(F.struct(*[tokens(F.coalesce(F.col(f), F.lit(""))).alias(f"t{i}") for i, f in enumerate(fields)]))).alias("x")
-    rows = df.select(F.col(key).alias("key"), cut)
+    each = F.explode(F.array(F.struct(*[cut.column(F.coalesce(F.col(f), F.lit(""))).alias(f"t{i}") for i, f in enumerate(fields)]))).alias("x")
+    rows = df.select(F.col(key).alias("key"), each)
     dl = sum((F.size(f"x.t{i}") for i in scope), F.lit(0))
     every = sum((F.size(f"x.t{i}") for i in range(len(fields))), F.lit(0))
     stats = rows.agg(F.count_if(every > 0).alias("n"), F.avg(F.when(dl > 0, dl)).alias("avgdl"))

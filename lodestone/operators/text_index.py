@@ -19,10 +19,10 @@ def _bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def build(df: DataFrame, path: str, fields: tuple[str, ...], key: str = "key", buckets: int = BUCKETS) -> None:
-    """Write the index of some text fields. Postings are dealt by bucket and key, so that a frequent term fills several tasks."""
-    cut = F.explode(F.array(F.struct(*[text.tokens(F.coalesce(F.col(f), F.lit(""))).alias(f"t{i}") for i, f in enumerate(fields)]))).alias("x")
-    rows = df.select(F.col(key).alias("key"), cut).select("key", F.array(*[F.size(f"x.t{i}") for i in range(len(fields))]).alias("dls"), "x")
+def build(df: DataFrame, path: str, fields: tuple[str, ...], key: str = "key", buckets: int = BUCKETS, cut: text.Tokenizer = text.WORDS) -> None:
+    """Write the index of some text fields; again whenever the table has changed (REBUILD). Postings are dealt by bucket and key, so that a frequent term fills several tasks."""
+    terms = F.explode(F.array(F.struct(*[cut.column(F.coalesce(F.col(f), F.lit(""))).alias(f"t{i}") for i, f in enumerate(fields)]))).alias("x")
+    rows = df.select(F.col(key).alias("key"), terms).select("key", F.array(*[F.size(f"x.t{i}") for i in range(len(fields))]).alias("dls"), "x")
     rows.select("key", "dls").write.mode("overwrite").parquet(f"{path}/lengths")
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"x.t{i}").alias("t")) for i, f in enumerate(fields)]))
     tokens = rows.select("key", "dls", each.alias("f")).select("key", "dls", F.col("f.field").alias("field"), F.posexplode("f.t").alias("pos", "term"))
@@ -37,14 +37,14 @@ def build(df: DataFrame, path: str, fields: tuple[str, ...], key: str = "key", b
     totals.withColumns({"fields": F.array(*map(F.lit, fields)), "buckets": F.lit(buckets)}).coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
 
 
-def match(spark: SparkSession, path: str, query: str, within: tuple[str, ...] = (), weights: dict[str, float] | None = None, typo: int = 0) -> DataFrame:
+def match(spark: SparkSession, path: str, query: str, within: tuple[str, ...] = (), weights: dict[str, float] | None = None, typo: int = 0, cut: text.Tokenizer = text.WORDS) -> DataFrame:
     """(key, score) of every match, as text.match_texts() finds them from the texts. An index without a token has no match.
 
     Bare terms and phrases read their buckets only; prefixes and typos read the terms of all.
     """
     if not 0 <= typo <= 2:
         raise Refused("TYPO is 0, 1 or 2")
-    q = text.parse(query)
+    q = text.parse(query, cut=cut)
     totals = spark.read.parquet(f"{path}/totals").collect()  # a row for each field
     kind = dict(spark.read.parquet(f"{path}/lengths").dtypes)["key"]
     post = spark.read.schema(f"term string, key {kind}, dls array<int>, field string, pos array<int>, bucket int").parquet(f"{path}/postings")

@@ -4,18 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.errors import Refused
+from lodestone.operators import ranks
 
 ORDER = ("score", "member")
 
 
-def _by_rank():
-    return Window.partitionBy("key").orderBy("score", "member")
-
-
 def score(z: DataFrame, key: str, member: str) -> DataFrame:
     return z.where((F.col("key") == key) & (F.col("member") == member)).select("score")
 
@@ -26,7 +23,7 @@ def card(z: DataFrame) -> DataFrame:
 
 def rank(z: DataFrame) -> DataFrame:
     """Every member's rank from 0."""
-    return z.withColumn("rank", (F.row_number().over(_by_rank()) - 1).cast("long"))
+    return ranks.numbered(z, "key", ORDER, "rank").withColumn("rank", F.col("rank") - 1)
 
 
 def rank_of(z: DataFrame, key: str, member: str) -> DataFrame:
@@ -37,9 +34,10 @@ def rank_of(z: DataFrame, key: str, member: str) -> DataFrame:
 
 
 def _slice(z: DataFrame, start: int, stop: int) -> tuple[DataFrame, Column]:
-    n = F.count("*").over(Window.partitionBy("key"))
-    rows = z.withColumn("_r", F.row_number().over(_by_rank()) - 1).withColumn("_n", n)
-    lo = F.greatest(F.lit(start) if start >= 0 else F.col("_n") + start, F.lit(0))
+    rows = ranks.numbered(z, "key", ORDER).withColumn("_r", F.col("_r") - 1)
+    if start < 0 or stop < 0:
+        rows = ranks.sizes(rows, "key")
+    lo = F.lit(start) if start >= 0 else F.greatest(F.col("_n") + start, F.lit(0))
     hi = F.lit(stop) if stop >= 0 else F.col("_n") + stop
     return rows, F.col("_r").between(lo, hi)
 
@@ -89,8 +87,7 @@ def without_scores(z: DataFrame, low, high) -> DataFrame:
 
 def pop_min(z: DataFrame, n: int, below: float | None = None) -> tuple[DataFrame, DataFrame]:
     """(popped, rest): for each key the n lowest members, only those with a score under `below` if given."""
-    # tasks keep their own n lowest before a key meets in one place; the rest is never ranked
-    out = z.withColumn("_r", F.row_number().over(_by_rank())).where(F.col("_r") <= n).drop("_r")
+    out = ranks.first(z, "key", ORDER, n)
     out = out if below is None else out.where(F.col("score") < below)
     return out, z.join(out.select("key", "member"), ["key", "member"], "left_anti")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestone.catalog import Index, Leaf, Node, OrderPath, Registry, Table, View, Window
 from lodestone.functions import scalar as S
-from lodestone.operators import audits, bitmaps, geo, groups, hashes, keys, lists, paths, sets, text, text_index, vectors, views, zsets
+from lodestone.operators import audits, bitmaps, geo, groups, hashes, keys, lists, paths, sets, text, text_index, vector_index, vectors, views, zsets
 from lodestone.plans import ddl, fold
 from lodestone.sources import tables as sources
 from lodestone.streaming import entries, feed, live
@@ -281,6 +282,13 @@ def index_verify(spark, d):
     return audits.verify_stored(o, stored, ORDERS, "o_totalprice")
 
 
+@query("SELECT 64::BIGINT AS n, 0::BIGINT AS wrong FROM (SELECT count(*) AS n FROM orders) WHERE n >= 64")
+def index_spot_check(spark, d):
+    o = orders(spark, d)
+    checked = audits.spot_check(o, paths.keyed(o, ORDERS).select("key", F.col("o_totalprice").alias("value")), ORDERS, "o_totalprice")
+    return checked.agg(F.count("*").alias("n"), F.count_if(~F.col("same")).alias("wrong"))
+
+
 @query(f"WITH {_ORDERS}, b AS (SELECT CAST(floor(o_ts / 2592000) AS BIGINT) AS bucket, count(*) AS rows FROM orders_ GROUP BY 1) SELECT bucket, rows, bucket > (SELECT max(bucket) FROM b) - 13 AS hot FROM b")
 def window_parts(spark, d):
     return audits.window_parts(orders(spark, d), ORDERS)
@@ -547,16 +555,22 @@ _indexes: dict[tuple[str, str, tuple[str, ...]], str] = {}
 
 
 def _index(spark: SparkSession, d: str, fields: tuple[str, ...]) -> str:
-    """Path of the stored index of some fields of a folder's documents, built once for an application, in the shared folder."""
+    """Path of the stored index of some fields of a folder's documents."""
+    return _stored(spark, (d, fields), lambda path: text_index.build(_docs(spark, d), path, fields))
+
+
+def _stored(spark: SparkSession, what: tuple, build: Callable[[str], None]) -> str:
+    """Path of an index, built once for an application, in the shared folder."""
     context = spark.sparkContext
-    at = (context.applicationId, d, fields)
+    at = (context.applicationId, *what)
     if at not in _indexes:
         root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_indexes"
         folder = f"{root.rstrip('/')}/lodestone-index-{context.applicationId}"
         path = context._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
-        text_index.build(_docs(spark, d), f"{folder}/{len(_indexes)}", fields)
-        _indexes[at] = f"{folder}/{len(_indexes)}"
+        new = f"{folder}/{uuid.uuid4().hex}"
+        build(new)
+        _indexes[at] = new
     return _indexes[at]
 
 
@@ -615,6 +629,20 @@ for _metric in ("cosine", "l2", "ip"):
     QUERIES[f"knn_{_metric}"] = lambda spark, d, f=QUERIES[f"knn_{_metric}"]: _nonzero(f(spark, d))
 
 
+def _cells(spark: SparkSession, d: str, metric: str) -> str:
+    e, q = _vectors(spark, d)
+    return _stored(spark, (d, "embedding", metric), lambda path: vector_index.build(e, path, "embedding", len(q), metric))
+
+
+for _metric in ("cosine", "l2", "ip"):
+
+    def _knn_indexed(spark, d, metric=_metric):
+        found = vector_index.knn(spark, _cells(spark, d, metric), _vectors(spark, d)[1], 20, ef=16, exact=True)
+        return _nonzero(found.select("key", F.round("dist", 6).alias("dist")))
+
+    QUERIES[f"knn_indexed_{_metric}"], ORACLES[f"knn_indexed_{_metric}"] = _knn_indexed, ORACLES[f"knn_{_metric}"]
+
+
 @query(f"""WITH {_VEC}, {_POSTINGS}, {_bm25(chr(39).join(['term IN (', 'license', ', ', 'version', ')']))},
 a AS (SELECT replace(key, 'documents:', '') AS id, row_number() OVER (ORDER BY score DESC, key) AS r FROM sc ORDER BY score DESC, key LIMIT 40),
 b AS (SELECT replace(key, 'embeddings:', '') AS id, row_number() OVER (ORDER BY 1 - list_cosine_similarity(v, q), key) AS r FROM e, q ORDER BY r LIMIT 40)
@@ -880,6 +908,11 @@ def feed_tail(spark, d):
     return t.agg(F.sum("offset").alias("frames"), F.count("*").alias("shards"))
 
 
+@query("SELECT channel, count(*) AS n FROM (SELECT CASE WHEN event_id % 17 = 0 THEN 'del' ELSE 'set' END AS op, 'user:' || user_id AS key FROM events) CROSS JOIN LATERAL (SELECT unnest(['__keyspace@0__:' || key, '__keyevent@0__:' || op]) AS channel) GROUP BY channel")
+def keyspace_notifications(spark, d):
+    return feed.notifications(_feed(spark, d)).groupBy("channel").agg(F.count("*").alias("n"))
+
+
 @query("SELECT channel, pattern, count(*) AS n FROM (SELECT event_type AS channel, unnest(['c*', '*e*']) AS pattern FROM events) WHERE (pattern = 'c*' AND starts_with(channel, 'c')) OR (pattern = '*e*' AND contains(channel, 'e')) GROUP BY ALL")
 def pubsub_patterns(spark, d):
     return live.psubscribe(load(spark, d, "events").select(F.col("event_type").alias("channel")), "c*", "*e*").groupBy("channel", "pattern").agg(F.count("*").alias("n"))

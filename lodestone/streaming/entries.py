@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.errors import Refused
+from lodestone.operators import ranks
 
 TOP = (1 << 63) - 1
 
@@ -70,12 +71,23 @@ def range_(stream: DataFrame, start: str = "-", end: str = "+", count: int | Non
     return rows if count is None else rows.limit(count)
 
 
-def read(stream: DataFrame, after: str, count: int | None = None) -> DataFrame:
-    """Entries after an id, of one or more streams, `count` of each."""
-    ms, seq, _ = parse_id(after)
-    rows = stream.where(_after((ms, seq, True)))
+def newest(stream: DataFrame, *names: str) -> dict[str, str]:
+    """The last id of each named stream, 0-0 if it has none: what $ stands for when a read begins."""
+    last = stream.where(F.col("stream").isin(*names)).groupBy("stream").agg(F.max(F.struct("ms", "seq")).alias("l"))
+    return {**dict.fromkeys(names, "0-0"), **{r.stream: f"{r.l.ms}-{r.l.seq}" for r in last.collect()}}
+
+
+def read(stream: DataFrame, after: str | dict[str, str], count: int | None = None) -> DataFrame:
+    """Entries after an id, of one or more streams, `count` of each; a dict names the streams, each with its id."""
+    if isinstance(after, dict):
+        test = F.lit(False)
+        for name, at in after.items():
+            test |= (F.col("stream") == name) & _after((*parse_id(at)[:2], True))
+    else:
+        test = _after((*parse_id(after)[:2], True))
+    rows = stream.where(test)
     if count is not None:
-        rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy("stream").orderBy("ms", "seq"))).where(F.col("_r") <= count).drop("_r")
+        rows = ranks.first(rows, "stream", ("ms", "seq"), count)
     return rows.orderBy("stream", "ms", "seq")
 
 
@@ -89,8 +101,7 @@ def trim(stream: DataFrame, maxlen: int | None = None, minid: str | None = None)
         raise Refused("give MAXLEN or MINID")
     if minid is not None:
         return stream.where(_after(parse_id(minid)))
-    newest = F.row_number().over(Window.partitionBy("stream").orderBy(F.desc("ms"), F.desc("seq")))
-    return stream.withColumn("_r", newest).where(F.col("_r") <= maxlen).drop("_r")
+    return ranks.last(stream, "stream", ("ms", "seq"), maxlen)
 
 
 def info(stream: DataFrame) -> DataFrame:

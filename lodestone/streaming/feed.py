@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.errors import Refused
+from lodestone.operators import ranks
 
 COUNT, MOST_COUNT = 256, 4096
 
@@ -47,4 +48,35 @@ def number(changes: DataFrame, n_shards: int, order: str = "seq") -> DataFrame:
     """(seq, key, op, value) -> a feed: shard from the key's hash, offsets gapless within it."""
     shard = F.pmod(F.xxhash64("key"), F.lit(n_shards)).cast("int")
     rows = changes.withColumn("shard", shard).withColumn("generation", F.lit(0).cast("long"))
-    return rows.withColumn("offset", (F.row_number().over(Window.partitionBy("shard").orderBy(order)) - 1).cast("long"))
+    return ranks.numbered(rows, "shard", (order,), "offset").withColumn("offset", F.col("offset") - 1)
+
+
+def verb_class(verb: Column) -> Column:
+    """The class of a writing verb: g (any key), h, l, s, z, t (streams), x (expired) or $ (strings)."""
+    v = F.lower(verb)
+    return (
+        F.when(v.isin("del", "unlink", "expire", "pexpire", "persist", "rename"), "g")
+        .when(v == "expired", "x")
+        .when(v.rlike("^(z|geo)"), "z")
+        .when(v.startswith("h"), "h")
+        .when(v.startswith("x"), "t")
+        .when(v.rlike("^(l|rp)"), "l")
+        .when(v.rlike("^(sadd|srem|spop|smove|s(inter|union|diff)store)$"), "s")
+        .otherwise("$")
+    )
+
+
+def notifications(log: DataFrame, flags: str = "KEA") -> DataFrame:
+    """(channel, message) for frames (key, op = verb): K a channel for the key, E one for the event, then classes, A for all.
+
+    Works on batches and streams; psubscribe() picks channels. Without K or E, or without a class, nothing is sent.
+    """
+    if wrong := set(flags) - set("KEAghlsztx$"):
+        raise Refused(f"notification flags {''.join(sorted(wrong))}")
+    rows = log if "A" in flags else log.where(verb_class(F.col("op")).isin(*(set(flags) - set("KE"))))
+    event = F.lower("op")
+    sent = [F.struct(F.concat(F.lit("__keyspace@0__:"), F.col("key")).alias("channel"), event.alias("message"))] if "K" in flags else []
+    sent += [F.struct(F.concat(F.lit("__keyevent@0__:"), event).alias("channel"), F.col("key").alias("message"))] if "E" in flags else []
+    if not sent:
+        return log.select(F.col("key").alias("channel"), F.col("op").alias("message")).where(F.lit(False))
+    return rows.select(F.explode(F.array(*sent)).alias("m")).select("m.*")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -83,6 +84,22 @@ def run_once(stream: DataFrame, name: str, mode: str = "append", checkpoint: str
     return stream.sparkSession.table(name)
 
 
+def block(read: Callable[[], DataFrame], timeout: float, every: float = 0.5) -> DataFrame | None:
+    """Ask again until an answer has a row, and return that answer; None after `timeout` seconds (0: wait for ever).
+
+    The blocking forms (BLPOP, BZPOPMIN, XREAD BLOCK) as polls: read() must look at its tables anew each time, and
+    waiting readers are served in no order.
+    """
+    end = time.monotonic() + timeout if timeout else float("inf")
+    while True:
+        found = read()
+        if not found.isEmpty():
+            return found
+        if time.monotonic() >= end:
+            return None
+        time.sleep(min(every, max(0.0, end - time.monotonic())))
+
+
 def transform(df: DataFrame, script: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """A script over a frame: the counterpart of server-side scripting; it runs as a plan, not atomically."""
     return df.transform(script)
