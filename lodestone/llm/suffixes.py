@@ -4,7 +4,7 @@ The sorted order of all suffixes of a collection, with common prefixes, shows ea
 occurs more than once. Building it for a corpus at once takes as many passes as the longest document has
 bytes, so the collection is first parted exactly: each window belongs to the place of its smallest hashed
 substring of SEED_BYTES (its minimiser), neighbouring windows with the same place form one string, and
-equal windows have equal minimisers. Equal strings, told by two independent 64-bit hashes, are entered once. Only
+equal windows have equal minimisers. Equal strings, told by a cryptographic digest of 128 bits, are entered once. Only
 minimisers that hold several different strings need suffix order; their strings are short (two windows at most) and
 go to buckets. The strings of a minimiser with very many are cut finer first, by more of what equal windows share.
 
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from lodestone.llm.common import SECOND, Rolling, arrow_map, flat, free_name, other_fields, stash, to_arrow_schema
+from lodestone.llm.common import Rolling, arrow_map, flat, free_name, other_fields, stash, to_arrow_schema
 
 WINDOW, SEED_BYTES = 100, 32
 #: Bytes of text whose strings a task compares before it sends any; texts are hashed in slices.
@@ -43,7 +43,7 @@ END = 255
 
 
 def strings_of(data: np.ndarray, off: np.ndarray, window: int, k: int) -> tuple[np.ndarray, ...]:
-    """Document, start in it, number of windows, hash of the minimiser and both hashes of the string, for each string."""
+    """Document, start in it, number of windows, hash of the minimiser and both halves of the string's digest, for each string."""
     if len(data) < window:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.uint64))
     roll = Rolling(data)
@@ -65,7 +65,10 @@ def strings_of(data: np.ndarray, off: np.ndarray, window: int, k: int) -> tuple[
     first = np.flatnonzero(valid & (change | ~before))
     last = np.flatnonzero(valid & (np.concatenate([change[1:], [True]]) | ~after))
     d = doc[first]
-    return d, first - off[d], last - first + 1, h[place[first]], roll.of(first, last + window), Rolling(data, SECOND).of(first, last + window)
+    raw = data.tobytes()
+    digests = b"".join([hashlib.blake2b(raw[lo:hi], digest_size=16).digest() for lo, hi in zip(first.tolist(), (last + window).tolist(), strict=True)])
+    halves = np.frombuffer(digests, np.uint64)
+    return d, first - off[d], last - first + 1, h[place[first]], halves[::2], halves[1::2]
 
 
 def finer(raw: bytes, seed: int, window: int, k: int) -> list[tuple[int, int, int]]:
@@ -132,7 +135,7 @@ def _reply(ids, marks, kind: int, seed, start, n) -> pa.RecordBatch | None:
 def _first_copies(seed, string, other, place) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order of distinct entries, in it the first of each string, and how many different strings its minimiser has.
 
-    Strings of equal first and different second hash may count as new more than once: suffix order decides those.
+    Strings whose digests agree in the first half only may count as new more than once: suffix order decides those.
     """
     order = np.lexsort((place, string, seed))
     s, t, o, p = seed[order], string[order], other[order], place[order]

@@ -194,6 +194,18 @@ def test_finer():
                 assert seen.setdefault((int(h), string[at : at + 100]), new) == new
 
 
+def test_digests():
+    """A string's two halves are the digest of its bytes; texts too short for a window have no strings."""
+    raw = np.random.default_rng(4).integers(97, 100, 700).astype(np.uint8)
+    d, start, n, _, string, other = suffixes.strings_of(raw, np.array([0, 50, 400, 700]), 100, 32)
+    base = np.array([0, 50, 400])
+    for k in range(len(d)):
+        at = base[d[k]] + start[k]
+        assert string[k].tobytes() + other[k].tobytes() == hashlib.blake2b(raw[at : at + n[k] + 99].tobytes(), digest_size=16).digest()
+    assert n[d == 1].sum() == 251 and n[d == 2].sum() == 201 and 0 not in d
+    assert [len(x) for x in suffixes.strings_of(raw, np.array([0, *range(99, 700, 99), 700]), 100, 32)] == [0] * 6
+
+
 def test_hash_collisions():
     """Strings that share the first hash and not the second are never taken for copies."""
     seed, string, other = np.array([7, 7, 7, 7], np.uint64), np.array([1, 1, 1, 1], np.uint64), np.array([5, 6, 5, 5], np.uint64)
