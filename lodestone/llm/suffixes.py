@@ -4,7 +4,7 @@ The sorted order of all suffixes of a collection, with common prefixes, shows ea
 occurs more than once. Building it for a corpus at once takes as many passes as the longest document has
 bytes, so the collection is first parted exactly: each window belongs to the place of its smallest hashed
 substring of SEED_BYTES (its minimiser), neighbouring windows with the same place form one string, and
-equal windows have equal minimisers. Equal strings, told by a cryptographic digest of 128 bits, are entered once. Only
+equal windows have equal minimisers. Equal strings, told by two unrelated hashes (a polynomial of 64 bits, and 32 of XXH3), are entered once. Only
 minimisers that hold several different strings need suffix order; their strings are short (two windows at most) and
 go to buckets. The strings of a minimiser with very many are cut finer first, by more of what equal windows share.
 
@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -43,9 +44,9 @@ END = 255
 
 
 def strings_of(data: np.ndarray, off: np.ndarray, window: int, k: int) -> tuple[np.ndarray, ...]:
-    """Document, start in it, number of windows, hash of the minimiser and both halves of the string's digest, for each string."""
+    """Document, start in it, number of windows, hash of the minimiser and both hashes of the string, for each string."""
     if len(data) < window:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.uint32))
     roll = Rolling(data)
     h = roll.windows(k)
     low = np.uint64(0xFFFFFFFF)
@@ -66,9 +67,8 @@ def strings_of(data: np.ndarray, off: np.ndarray, window: int, k: int) -> tuple[
     last = np.flatnonzero(valid & (np.concatenate([change[1:], [True]]) | ~after))
     d = doc[first]
     raw = data.tobytes()
-    digests = b"".join([hashlib.blake2b(raw[lo:hi], digest_size=16).digest() for lo, hi in zip(first.tolist(), (last + window).tolist(), strict=True)])
-    halves = np.frombuffer(digests, np.uint64)
-    return d, first - off[d], last - first + 1, h[place[first]], halves[::2], halves[1::2]
+    other = np.array([xxhash.xxh3_64_intdigest(raw[lo:hi]) for lo, hi in zip(first.tolist(), (last + window).tolist(), strict=True)], np.uint64).astype(np.uint32)
+    return d, first - off[d], last - first + 1, h[place[first]], roll.of(first, last + window), other
 
 
 def finer(raw: bytes, seed: int, window: int, k: int) -> list[tuple[int, int, int]]:
@@ -113,7 +113,7 @@ def _ranks(ids: np.ndarray, marks: np.ndarray) -> np.ndarray:
     return out
 
 
-_REQUEST = "bucket int, ids array<long>, marks array<long>, doc array<int>, start array<int>, n array<int>, seed array<long>, string array<long>, other array<long>"
+_REQUEST = "bucket int, ids array<long>, marks array<long>, doc array<int>, start array<int>, n array<int>, seed array<long>, string array<long>, other array<int>"
 _REPLY = "id long, mark long, kind int, seed array<long>, start array<int>, n array<int>"
 
 
@@ -135,7 +135,7 @@ def _reply(ids, marks, kind: int, seed, start, n) -> pa.RecordBatch | None:
 def _first_copies(seed, string, other, place) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order of distinct entries, in it the first of each string, and how many different strings its minimiser has.
 
-    Strings whose digests agree in the first half only may count as new more than once: suffix order decides those.
+    Strings of equal first and different second hash may count as new more than once: suffix order decides those.
     """
     order = np.lexsort((place, string, seed))
     s, t, o, p = seed[order], string[order], other[order], place[order]
@@ -173,7 +173,7 @@ def _parts(window: int, k: int, n_buckets: int):
                         one = lambda x, kind: _lists(x, np.array([0, len(x)]), kind)
                         settled = which is copies
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array([int(b[lo])], pa.int32()), one(ids[w][at], pa.int64()), one(marks[w][at], pa.int64()), one(doc, pa.int32()), one(start[w], pa.int32()), one(n[w], pa.int32()), *(one(x[w][: 0 if settled else None].view(np.int64), pa.int64()) for x in (seed, string, other))],
+                            [pa.array([int(b[lo])], pa.int32()), one(ids[w][at], pa.int64()), one(marks[w][at], pa.int64()), one(doc, pa.int32()), one(start[w], pa.int32()), one(n[w], pa.int32()), *(one(x[w][: 0 if settled else None].view(kind), pa.from_numpy_dtype(kind)) for x, kind in ((seed, np.int64), (string, np.int64), (other, np.int32)))],
                             names=["bucket", "ids", "marks", "doc", "start", "n", "seed", "string", "other"],
                         )
 
@@ -208,7 +208,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc = np.concatenate([r[2] + lo for r, lo in zip(held, np.cumsum([0, *counts[:-1]]), strict=True)])
         ids, marks = column(held, 0), column(held, 1)
         start, n = column(held, 3).astype(np.int64), column(held, 4)
-        seed, string, other = (column(held, i).view(np.uint64) for i in (5, 6, 7))
+        seed, string, other = (column(held, i).view(kind) for i, kind in ((5, np.uint64), (6, np.uint64), (7, np.uint32)))
         order, new, kinds = _first_copies(seed, string, other, _ranks(ids, marks)[doc] << 32 | start)
         for kind, which in ((0, order[~new]), (1, order[new & (kinds > 1) & (kinds < HOT_STRINGS)]), (2, order[new & (kinds >= HOT_STRINGS)])):
             if (out := _reply(ids[doc[which]], marks[doc[which]], kind, seed[which] if kind else seed[which] * np.uint64(0), start[which], n[which])) is not None:

@@ -194,15 +194,18 @@ def test_finer():
                 assert seen.setdefault((int(h), string[at : at + 100]), new) == new
 
 
-def test_digests():
-    """A string's two halves are the digest of its bytes; texts too short for a window have no strings."""
+def test_string_hashes():
+    """A string's second hash is 32 bits of XXH3 of its bytes, equal bytes have equal first hashes; texts too short for a window have no strings."""
     raw = np.random.default_rng(4).integers(97, 100, 700).astype(np.uint8)
-    d, start, n, _, string, other = suffixes.strings_of(raw, np.array([0, 50, 400, 700]), 100, 32)
-    base = np.array([0, 50, 400])
+    raw[400:700] = raw[50:350]
+    d, start, n, seed, string, other = suffixes.strings_of(raw, np.array([0, 50, 400, 700]), 100, 32)
+    base, firsts = np.array([0, 50, 400]), {}
     for k in range(len(d)):
         at = base[d[k]] + start[k]
-        assert string[k].tobytes() + other[k].tobytes() == hashlib.blake2b(raw[at : at + n[k] + 99].tobytes(), digest_size=16).digest()
-    assert n[d == 1].sum() == 251 and n[d == 2].sum() == 201 and 0 not in d
+        body = raw[at : at + n[k] + 99].tobytes()
+        assert int(other[k]) == xxhash.xxh3_64_intdigest(body) & 0xFFFFFFFF
+        assert firsts.setdefault(body, (seed[k], string[k])) == (seed[k], string[k])
+    assert n[d == 1].sum() == 251 and n[d == 2].sum() == 201 and 0 not in d and len(firsts) < len(d)
     assert [len(x) for x in suffixes.strings_of(raw, np.array([0, *range(99, 700, 99), 700]), 100, 32)] == [0] * 6
 
 
