@@ -344,7 +344,36 @@ def repeated(data: np.ndarray, ends: np.ndarray, sizes: np.ndarray, rank: np.nda
     return who[hit], offset[hit]
 
 
-def _sort_suffixes(window: int):
+def _may_repeat(data: np.ndarray, ends: np.ndarray, sizes: np.ndarray, seed: np.ndarray, window: int, k: int) -> np.ndarray:
+    """Which strings can share a window with another string of their minimiser.
+
+    Equal windows have the minimiser at the same place, hence half of the other bytes, before it or after it, in common.
+    Strings in which the minimiser isn't found (they were cut finer) may always.
+    """
+    half = (window - k) // 2
+    if not half or not len(sizes):
+        return np.ones(len(sizes), bool)
+    roll, begin = Rolling(data), ends - sizes
+    hit = np.flatnonzero(roll.windows(k) == np.repeat(seed.view(np.uint64), sizes)[: len(data) - k + 1])
+    who = np.searchsorted(ends, hit, side="right")
+    hit, who = (x[hit - begin[who] <= window - k] for x in (hit, who))
+    who, at = np.unique(who, return_index=True)
+    place = hit[at]
+    out = np.ones(len(sizes), bool)
+    out[who] = False
+    for first in (place - half, place + k):
+        fits = np.flatnonzero((first >= begin[who]) & (first + half <= ends[who]))
+        if not len(fits):
+            continue
+        h = roll.of(first[fits], first[fits] + half)
+        order = np.lexsort((h, seed[who[fits]]))
+        s, h = seed[who[fits]][order], h[order]
+        same = (s[1:] == s[:-1]) & (h[1:] == h[:-1])
+        out[who[fits][order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]]] = True
+    return out
+
+
+def _sort_suffixes(window: int, seed_bytes: int):
     """Strings in order of bucket -> replies of kind 0 from the sorted suffixes of each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,6 +384,9 @@ def _sort_suffixes(window: int):
             raw = [x for r in held for x in r[4]]
             by = np.argsort(seed, kind="stable")
             sizes = np.array([len(raw[i]) for i in by], np.int64)
+            every = np.frombuffer(b"".join(raw[i] for i in by), np.uint8)
+            by = by[_may_repeat(every, np.cumsum(sizes), sizes, seed[by], window, seed_bytes)]
+            sizes = np.array([len(raw[i]) for i in by], np.int64)
             ids, marks, seed, start = ids[by], marks[by], seed[by], start[by].astype(np.int64)
             rank, total = _ranks(ids, marks), np.cumsum(sizes)
             cut = np.flatnonzero(np.diff(seed)) + 1  # only here may a bucket be parted
@@ -464,7 +496,7 @@ def repeats(df: DataFrame, text: str = "text", ident: str = "doc_id", window: in
     if n != ids:
         wanted = wanted.where(F.col(body).isNotNull()).dropDuplicates([key, tag])
     cut = arrow_map(wanted, _cut(window, seed_bytes, 4 * buckets), "bucket int, id array<long>, mark array<long>, seed array<long>, start array<int>, raw array<binary>")
-    more = arrow_map(cut.repartitionById(4 * buckets, F.col("bucket")).sortWithinPartitions("bucket"), _sort_suffixes(window), _REPLY)
+    more = arrow_map(cut.repartitionById(4 * buckets, F.col("bucket")).sortWithinPartitions("bucket"), _sort_suffixes(window, seed_bytes), _REPLY)
     settled = gathered(replies.where("kind = 0").unionByName(more))
     joined = docs.join(settled, [key, tag], "left").select(*[F.col(f.name) for f in fields], body, parts)
     schema = StructType([*fields, *results])

@@ -209,6 +209,28 @@ def test_string_hashes():
     assert [len(x) for x in suffixes.strings_of(raw, np.array([0, *range(99, 700, 99), 700]), 100, 32)] == [0] * 6
 
 
+def test_may_repeat():
+    """No string that shares a window with another is left out; strings that share the minimiser alone are."""
+    rng = np.random.default_rng(8)
+    common = rng.integers(97, 123, 40).astype(np.uint8)
+    raws = [np.concatenate([rng.integers(97, 123, 90).astype(np.uint8), common, rng.integers(97, 123, 90).astype(np.uint8)]) for _ in range(40)]
+    raws += [np.concatenate([r[: 150 + i], rng.integers(97, 123, 60).astype(np.uint8)]) for i, r in enumerate(raws[:12])]
+    raws += [np.concatenate([rng.integers(97, 123, 60).astype(np.uint8), r[70 - i :]]) for i, r in enumerate(raws[12:24])]
+    off = np.cumsum([0, *map(len, raws)])
+    d, start, n, seed, *_ = suffixes.strings_of(np.concatenate(raws), off, 100, 32)
+    by = np.argsort(seed, kind="stable")
+    bodies = [raws[d[i]][start[i] : start[i] + n[i] + 99] for i in by]
+    sizes = np.array(list(map(len, bodies)))
+    kept = suffixes._may_repeat(np.concatenate(bodies), np.cumsum(sizes), sizes, seed[by].view(np.int64), 100, 32)
+    seen = Counter(w for b in bodies for w in {b[i : i + 100].tobytes() for i in range(len(b) - 99)})
+    shares = [any(seen[b[i : i + 100].tobytes()] > 1 for i in range(len(b) - 99)) for b in bodies]
+    assert any(shares) and all(k for k, share in zip(kept, shares, strict=True) if share)
+    alone = [not k for k, h in zip(kept, seed[by], strict=True) if Counter(seed.tolist())[int(h)] > 1]
+    assert any(alone)
+    none = np.zeros(0, np.int64)
+    assert not len(suffixes._may_repeat(np.zeros(0, np.uint8), none, none, none, 100, 32))
+
+
 def test_hash_collisions():
     """Strings that share the first hash and not the second are never taken for copies."""
     seed, string, other = np.array([7, 7, 7, 7], np.uint64), np.array([1, 1, 1, 1], np.uint64), np.array([5, 6, 5, 5], np.uint64)
