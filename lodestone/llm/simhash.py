@@ -7,8 +7,9 @@ cell and asks at the cells within Manhattan distance 3 (half of them, as pairs a
 a cell, nine finer segments are joined in the same way by sorted keys, and what is left is verified exactly.
 
 near_copies_removed() is for stages that remove copies by real similarity of their shingle sets. Sets of similarity 0.8
-have fingerprints about ten bits apart and up to WIDE_BITS, where the segment counts no longer part
-anything; there fingerprints meet in blocks by min-wise shingle keys instead of in cells of the grid, and whole sets decide.
+differ in about 15 % of a fingerprint's bits and up to 40 %, random ones in half, so their fingerprints have four words. They meet
+in the same way, by ranges of the counts of segments under WIDE_BITS. As counts part little at that distance, the size of
+the set, the popcount of its own bitmap, is one more coordinate of the grid. Whole sets decide.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lodestone.llm.common import arrow_map, encoded, free_name, map_texts, mix, small, stash
 from lodestone.llm.components import components, forest
@@ -33,14 +34,15 @@ MOST_BITS, WORDS, SEED = 3, 3, 42
 #: Residents of a cell that a task holds at once; larger cells are dealt into blocks.
 BLOCK = 50_000
 
-#: Stages on word shingles: words, least similarity, and the most bits that the fingerprints of similar sets differ in.
-COPY_WORDS, SIMILARITY, WIDE_BITS = 5, 0.8, 26
-#: Keys a set has, and permutations that a key takes its least hashes from; sets of similarity s share none with probability (1 - s ** ROWS) ** KEYS.
-KEYS, ROWS = 32, 4
-#: Sets that a task compares with each other at once, and shingles whose hashes are permuted at once.
-COPY_BLOCK, SLICE = 2048, 2048
+#: Stages on word shingles: words, least similarity, and the most bits that the fingerprints of similar sets differ in: in the first two words, and in all.
+#: By the binomial law, a pair of similarity 0.8 is missed with probability 5e-8 (four shingles and the same with a fifth, the worst case), 1e-10 from ten shingles on.
+COPY_WORDS, SIMILARITY, WIDE_BITS = 5, 0.8, (50, 84)
+#: Words of such a fingerprint, segments that each of the first two is cut into in a task, residents of a cell that a task holds at once.
+WIDE, CUTS, WIDE_BLOCK = 4, 4, 32_768
+#: Sets whose hashes a task compares with each other at once.
+COPY_BLOCK = 2048
 
-_ODD = np.random.default_rng(SEED).integers(1, 1 << 63, KEYS * ROWS, dtype=np.uint64) | np.uint64(1)
+_PRINT = [f"p{k}" for k in range(WIDE)]
 
 
 def shingle_hashes(text: bytes, words: int = WORDS, seed: int = SEED) -> np.ndarray:
@@ -219,20 +221,9 @@ def labelled(rows: DataFrame, fp: str, ident: str, low: str, most: int) -> DataF
 # ---- near copies by real similarity ----
 
 
-def set_keys(h: np.ndarray) -> np.ndarray:
-    """Min-wise keys of a set of hashes; none for the empty set."""
-    if not len(h):
-        return np.zeros(0, np.int64)
-    low = np.full(KEYS * ROWS, np.iinfo(np.uint64).max)
-    for k in range(0, len(h), SLICE):
-        x = h[k : k + SLICE, None] * _ODD
-        x ^= x >> np.uint64(32)
-        x *= np.uint64(0xD6E8FEB86659FD93)
-        low = np.minimum(low, x.min(axis=0))
-    key = np.arange(KEYS, dtype=np.uint64)
-    for column in low.reshape(KEYS, ROWS).T:
-        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + column)
-    return key.view(np.int64)
+def wide_print(h: np.ndarray) -> list[int]:
+    """The words of the fingerprint of a set of hashes, each a SimHash of the hashes mixed anew."""
+    return [majority(mix(h + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))) if k else h) for k in range(WIDE)]
 
 
 def _spread(df: DataFrame, key: str, item: str, n: str) -> DataFrame:
@@ -294,31 +285,160 @@ def _joined(n: int, home: np.ndarray, block: int, near) -> tuple[list[int], list
     return u, v
 
 
-def _meet(most: int):
-    """Blocks of one min-wise key -> (u, v): sets that fingerprints within `most` bits join."""
+class _Residents:
+    """Sets of a cell's block, in order of size. What meet() has joined isn't joined again."""
+
+    def __init__(self, cls: np.ndarray, size: np.ndarray, prints: np.ndarray, least: float, most: tuple[int, int]):
+        order = np.argsort(size, kind="stable")
+        self.cls, self.size, self.prints = cls[order], size[order], np.ascontiguousarray(prints[:, order])
+        self.counts = self._segments(self.prints)
+        self.root = np.arange(len(cls))
+        self.least, self.most = least, most
+
+    @staticmethod
+    def _segments(prints: np.ndarray) -> np.ndarray:
+        width = 64 // CUTS
+        mask = np.uint64((1 << width) - 1)
+        return np.stack([np.bitwise_count((p >> np.uint64(width * k)) & mask) for p in prints[:2] for k in range(CUTS)])
+
+    def meet(self, cls: np.ndarray | None = None, size: np.ndarray | None = None, prints: np.ndarray | None = None, tile: int = 16, run: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+        """(u, v) that join what all pairs of a resident and one of the sets join, without sets those of two residents.
+
+        A tile of sets meets the residents in reach of its sizes whose counts of segments lie within the Manhattan
+        distance of its own; for these the bits are counted.
+        """
+        own = cls is None
+        if own:
+            cls, size, prints, counts = self.cls, self.size, self.prints, self.counts
+        else:
+            order = np.argsort(size, kind="stable")
+            cls, size, prints = cls[order], size[order], np.ascontiguousarray(prints[:, order])
+            counts = self._segments(prints)
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        for a in range(0, len(cls), tile):
+            b = min(a + tile, len(cls))
+            low = max(np.searchsorted(self.size, self.least * size[a] - 1e-6), a if own else 0)
+            high = np.searchsorted(self.size, size[b - 1] / self.least + 1e-6, side="right")
+            box = counts[:, a:b].min(axis=1)[:, None], counts[:, a:b].max(axis=1)[:, None]
+            c = self.counts[:, low:high]
+            far = (np.maximum(box[0], c) - c + np.maximum(c, box[1]) - box[1]).sum(axis=0, dtype=np.uint8)  # 128 at most
+            reach = np.flatnonzero(far <= self.most[0]) + low
+            joined = np.full(b - a, -1)
+            while len(reach):
+                out += self._tile(cls, size, prints, a, b, reach[:run], joined, own)
+                label, reach = self.root[a:b] if own else joined, reach[run:]
+                if label[0] >= 0 and (label == label[0]).all():
+                    reach = reach[self.root[reach] != label[0]]
+        return (np.concatenate([u for u, _ in out]), np.concatenate([v for _, v in out])) if out else (np.zeros(0, np.int64),) * 2
+
+    def _tile(self, cls: np.ndarray, size: np.ndarray, prints: np.ndarray, a: int, b: int, reach: np.ndarray, joined: np.ndarray, own: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        whole = reach[-1] - reach[0] == len(reach) - 1  # then a view does
+        p, q = prints[:, a:b], self.prints[:, reach[0] : reach[-1] + 1] if whole else self.prints[:, reach]
+        d = np.bitwise_count(p[0][:, None] ^ q[0]) + np.bitwise_count(p[1][:, None] ^ q[1])
+        i, j = np.divmod(np.flatnonzero(d <= self.most[0]), len(reach))
+        label = self.root[a:b] if own else joined
+        some = label[i] != self.root[reach[j]]
+        if own:
+            some &= reach[j] > i + a
+        i, j = i[some], j[some]
+        d = d[i, j].astype(np.int16)
+        for k in range(2, WIDE):
+            d += np.bitwise_count(p[k][i] ^ q[k][j])
+        n, m = size[a:b][i], self.size[reach][j]
+        ok = (d <= self.most[1]) & (np.minimum(n, m) >= self.least * np.maximum(n, m) - 1e-6)
+        i, r = i[ok], reach[j[ok]]
+        if not own:
+            first = np.flatnonzero(np.diff(i, prepend=-1))
+            first = first[joined[i[first]] < 0]
+            joined[i[first]] = self.root[r[first]]
+            if len(first):
+                yield cls[a + i[first]], self.cls[r[first]]
+        open_ = label[i] != self.root[r]
+        x, y = label[i][open_], self.root[r][open_]
+        if len(x):
+            x, y = forest(x, y)
+            to = np.arange(len(self.root))
+            to[x] = y
+            self.root = to[self.root]
+            joined[joined >= 0] = to[joined[joined >= 0]]
+            yield self.cls[x], self.cls[y]
+
+
+def wide_links(sets: DataFrame, least: float = SIMILARITY, most: tuple[int, int] = WIDE_BITS) -> DataFrame:
+    """(cls, n, p0 .. p3): sets, their sizes and fingerprints -> (u, v): links that join the same sets as all pairs
+    whose sizes allow a similarity of `least` and whose fingerprints differ in at most `most` bits.
+
+    A range join on a grid of the sizes, by classes in which neighbours alone can be similar, and of the counts of set bits in the first two words,
+    by steps wider than most[0]: each set is resident in its cell and asks there and at half of the neighbours. Sets
+    too small to be similar to any other take no part.
+    """
+    step, side = most[0] + 1, 64 // (most[0] + 1) + 3
+    size_class = F.floor(F.log(F.col("n").cast("double")) / (-np.log(least) * (1 + 1e-9))).cast("long")
+    first, second = (F.floor(F.bit_count(p) / step) + 1 for p in _PRINT[:2])
+    cell = (size_class * side + first) * side + second
+    prints = sets.where(F.col("n") >= least / (1 - least) - 1e-6).select("cls", "n", *_PRINT, cell.alias("cell"))
+    # cells: a few for each class of sizes, and these grow with the logarithm of the largest size
+    sizes = small(stash(prints.groupBy("cell").agg(F.ceil(F.count("*") / WIDE_BLOCK).cast("int").alias("blocks"))), 16)
+    homes = prints.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    at_home = homes.withColumn("asks", F.lit(0)).drop("blocks")
+    same = homes.where("block + 1 < blocks").withColumn("block", F.explode(F.expr("sequence(block + 1, blocks - 1)"))).withColumn("asks", F.lit(1)).drop("blocks")
+    moves = [(s * side + x) * side + y for s, x, y in product((0, 1), (-1, 0, 1), (-1, 0, 1)) if (s, x, y) > (0, 0, 0)]
+    asks = prints.withColumn("cell", F.explode(F.array(*[F.col("cell") + m for m in moves]))).join(sizes, "cell")
+    asks = asks.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(1)).drop("blocks")
 
-    def flush(block: int, columns: list[pa.ChunkedArray]) -> tuple[np.ndarray, np.ndarray]:
-        home, cls, fp = (c.to_numpy() for c in columns)
-        fp = fp.view(np.uint64)
-        u, v = _joined(len(cls), home, block, lambda a, others: np.bitwise_count(fp[others] ^ fp[a]) <= most)
-        return cls[u], cls[v]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, n_held, residents = None, [], 0, None
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            """Residents meet each other once all of them are there, then those who ask, as many at once as a block has."""
+            nonlocal held, n_held, residents
+            if held:
+                cls, size, *prints = (np.concatenate(x) for x in zip(*held, strict=True))
+                prints = np.stack(prints).view(np.uint64)
+                u = v = np.zeros(0, np.int64)
+                if not at[2]:
+                    residents = _Residents(cls, size, prints, least, most)
+                    u, v = residents.meet()
+                elif residents is not None:
+                    u, v = residents.meet(cls, size, prints)
+                if len(u):
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+            held, n_held = [], 0
+
+        for b in batches:
+            cell, block, asks, *rest = (c.to_numpy() for c in b.columns)
+            cuts = np.flatnonzero((np.diff(cell) != 0) | (np.diff(block) != 0) | (np.diff(asks) != 0)) + 1 if len(cell) else []
+            for lo, hi in zip([0, *cuts], [*cuts, len(cell)], strict=True):
+                if hi == lo:
+                    continue
+                if at != (cell[lo], block[lo], asks[lo]):
+                    yield from flush()
+                    if at is None or at[:2] != (cell[lo], block[lo]):
+                        residents = None
+                    at = (cell[lo], block[lo], asks[lo])
+                held.append([x[lo:hi] for x in rest])
+                n_held += hi - lo
+                if asks[lo] and n_held >= WIDE_BLOCK:
+                    yield from flush()
+        yield from flush()
 
-    return _by_group(5, flush)
+    met = at_home.unionByName(same).unionByName(asks).repartition("cell", "block").sortWithinPartitions("cell", "block", "asks")
+    return arrow_map(met.select("cell", "block", "asks", "cls", "n", *_PRINT), run, "u long, v long")
 
 
-def _alike(most: int, least: float):
+def _alike(most: tuple[int, int], least: float):
     """Blocks of candidates -> (u, v): sets that real similarities of `least` or more join."""
 
     def flush(block: int, columns: list[pa.ChunkedArray]) -> tuple[np.ndarray, np.ndarray]:
-        home, cls, fp = (c.to_numpy() for c in columns[:3])
+        home, cls, *prints = (c.to_numpy() for c in columns[: 2 + WIDE])
         first = np.concatenate([[True], cls[1:] != cls[:-1]])  # equal rows give their set again
-        home, cls, fp = home[first], cls[first], fp[first].view(np.uint64)
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x, keep in zip(columns[3], first, strict=True) if keep]
+        home, cls, prints = home[first], cls[first], np.stack(prints)[:, first].view(np.uint64)
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x, keep in zip(columns[2 + WIDE], first, strict=True) if keep]
         size = np.array(list(map(len, sets)))
 
         def near(a: int, others: np.ndarray) -> np.ndarray:
             ok = (size[others] >= least * size[a] - 1e-9) & (size[a] >= least * size[others] - 1e-9)
-            ok &= np.bitwise_count(fp[others] ^ fp[a]) <= most
+            ok &= np.bitwise_count(prints[:, others] ^ prints[:, a, None]).sum(axis=0, dtype=np.int64) <= most[1]
             some = np.flatnonzero(ok)
             if len(some):
                 who = others[some]
@@ -331,59 +451,58 @@ def _alike(most: int, least: float):
         u, v = _joined(len(cls), home, block, near)
         return cls[u], cls[v]
 
-    return _by_group(6, flush)
+    return _by_group(5 + WIDE, flush)
 
 
-def _copy_links(sets: DataFrame, texts: Callable[[DataFrame], DataFrame], words: int, least: float, most: int, seed: int) -> DataFrame:
-    """(u, v) that join the classes which similarities of `least` or more join. sets: (cls, fp, keys); texts: wanted classes -> (cls, .., text)."""
-    keys = sets.select("cls", "fp", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = _spread(keys.join(shared, "key"), "key", "cls", "n").select("key", "block", "home", "cls", "fp")
-    roots = components(arrow_map(met, _meet(most), "u long, v long"))
+def _copy_links(sets: DataFrame, texts: Callable[[DataFrame], DataFrame], words: int, least: float, most: tuple[int, int], seed: int) -> DataFrame:
+    """(u, v) that join the classes which similarities of `least` or more join. sets: (cls, n, p0 .. p3); texts: wanted classes -> (cls, .., text)."""
+    roots = components(wide_links(sets, least, most))
     # candidates: whole connected sets of them, each with the number of its members
     member = roots.select(F.col("u").alias("cls"), F.col("v").alias("root"))
     member = stash(member.union(member.select(F.col("root").alias("cls"), "root").distinct()))
     counts = stash(member.groupBy("root").agg(F.count("*").alias("n")))  # a plain table, so that a large one can be split
-    wanted = stash(member.join(counts, "root").join(sets.select("cls", "fp"), "cls"))
+    wanted = stash(member.join(counts, "root").join(sets.select("cls", *_PRINT), "cls"))
+    columns = ["cls", "root", "n", *_PRINT]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [np.unique(shingle_hashes(t, words, seed)).tobytes() for t in encoded(b.column(4))]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(got, pa.binary())], names=["cls", "fp", "root", "n", "hashes"])
+            got = [np.unique(shingle_hashes(t, words, seed)).tobytes() for t in encoded(b.column(len(columns)))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(got, pa.binary())], names=[*columns, "hashes"])
 
-    cut = arrow_map(texts(wanted).select("cls", "fp", "root", "n", "text"), run, "cls long, fp long, root long, n long, hashes binary")
-    met = _spread(cut, "root", "cls", "n").select("root", "block", "home", "cls", "fp", "hashes")
+    cut = arrow_map(texts(wanted).select(*columns, "text"), run, ", ".join(f"{c} long" for c in columns) + ", hashes binary")
+    met = _spread(cut, "root", "cls", "n").select("root", "block", "home", "cls", *_PRINT, "hashes")
     return arrow_map(met, _alike(most, least), "u long, v long")
 
 
-def near_copies_removed(df: DataFrame, text: str = "text", ident: str = "doc_id", words: int = COPY_WORDS, least: float = SIMILARITY, most: int = WIDE_BITS, seed: int = SEED) -> DataFrame:
+def near_copies_removed(df: DataFrame, text: str = "text", ident: str = "doc_id", words: int = COPY_WORDS, least: float = SIMILARITY, most: tuple[int, int] = WIDE_BITS, seed: int = SEED) -> DataFrame:
     """One row stays of those that Jaccard similarities of `least` or more between shingle sets join, directly or
     over others: the one with the smallest id (nulls last), then the smallest text hash.
 
     Fingerprints are those of the distinct shingles. Null and wordless texts have the same, empty, set and are one
     class. Equal rows of the winning id and text count as one. Empty table: no rows. All columns pass unchanged.
     """
-    cls, key, keys, fp = (free_name(df, x) for x in ("copy_class", "copy_key", "copy_keys", "copy_print"))
+    cls, key, n, *prints = (free_name(df, f"copy_{x}") for x in ("class", "key", "n", *_PRINT))
     own_key = F.struct(F.xxhash64(ident, text).alias("h"), F.col(ident).alias("i"))
 
     def make():
         def run(texts: pa.Array) -> list[pa.Array]:
             sets = [np.unique(shingle_hashes(t, words, seed)) for t in encoded(texts)]
             ids = np.array([xxhash.xxh64_intdigest(s.tobytes(), seed) for s in sets], np.uint64)
-            return [pa.array(ids.view(np.int64)), pa.array(np.array([majority(s) for s in sets], np.uint64).view(np.int64)), pa.array([set_keys(s) for s in sets], pa.list_(pa.int64()))]
+            words_of = np.array([wide_print(s) for s in sets], np.uint64).reshape(-1, WIDE).view(np.int64)
+            return [pa.array(ids.view(np.int64)), pa.array(list(map(len, sets)), pa.int64()), *(pa.array(np.ascontiguousarray(w)) for w in words_of.T)]
 
         return run
 
-    result = StructType([StructField(cls, LongType()), StructField(fp, LongType()), StructField(keys, ArrayType(LongType()))])
+    result = StructType([StructField(x, LongType()) for x in (cls, n, *prints)])
     rows = stash(map_texts(df.select(F.col(text), own_key.alias(key)), text, result, make, keep=[key]))
     order = F.struct(F.col(f"{key}.i").isNull().alias("none"), F.col(f"{key}.i").alias("i"), F.col(f"{key}.h").alias("h"))
-    sets = rows.groupBy(F.col(cls).alias("cls")).agg(F.min(order).alias("w"), F.first(fp).alias("fp"), F.first(keys).alias("keys"))
-    sets = stash(sets.select("cls", F.struct(F.col("w.h").alias("h"), F.col("w.i").alias("i")).alias("w"), "fp", "keys"))
+    sets = rows.groupBy(F.col(cls).alias("cls")).agg(F.min(order).alias("w"), *(F.first(x).alias(y) for x, y in zip((n, *prints), ("n", *_PRINT), strict=True)))
+    sets = stash(sets.select("cls", F.struct(F.col("w.h").alias("h"), F.col("w.i").alias("i")).alias("w"), "n", *_PRINT))
 
     def texts(wanted: DataFrame) -> DataFrame:
         """The text of a row of each wanted class, from the table itself."""
         asked = stash(wanted.join(sets.select("cls", "w"), "cls"))
-        return df.select(own_key.alias(key), F.col(text).alias("text")).join(small(asked, 64), F.col(key) == F.col("w"))
+        return df.select(own_key.alias(key), F.col(text).alias("text")).join(small(asked, 96), F.col(key) == F.col("w"))
 
     roots = components(_copy_links(sets, texts, words, least, most, seed)).select(F.col("u").alias("cls"), F.col("v").alias("root"))
     order = F.struct(F.col("w.i").isNull().alias("none"), F.col("w.i").alias("i"), F.col("w.h").alias("h"))
