@@ -143,17 +143,24 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", ident: str = "
     rows = stash(rows).withColumn("bytes", F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(so_far)).where(F.col("bytes") <= FIT_BYTES)
 
     def run(batches):
-        features = Features()
+        features, seen = Features(), []
         for b in batches:
-            got = [features(x.as_py() or "") for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).cast(pa.int64()), b.column(2).cast(pa.int32()), pa.array([i.astype(np.int32).tobytes() for i, _ in got], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in got], pa.binary())],
-                names=["id", "grade", "i", "v"],
-            )
-
-    got = arrow_map(rows.select("id", "text", "grade"), run, "id long, grade int, i binary, v binary").collect()
-    got = sorted(got, key=lambda r: (r.id, r.grade, bytes(r.i)))
-    return fit([(np.frombuffer(r.i, np.int32), np.frombuffer(r.v, np.float32)) for r in got], np.array([r.grade for r in got], int), **options)
+            for i, x, g in zip(b.column(0).cast(pa.int64()).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+                index, value = features(x.as_py() or "")
+                seen.append((i, g, index.astype(np.int32), value.astype(np.float32)))
+        if seen:
+            seen.sort(key=lambda r: (r[0], r[1], r[2].tobytes()))
+            w, t = fit([r[2:] for r in seen], np.array([r[1] for r in seen], int), **options)
+            used = np.flatnonzero(w).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (used, w[used], t)], names=["used", "w", "t"])
+
+    # fitted in the one task that the order brings the rows to: the driver gets the weights, not the features
+    got = arrow_map(rows.select("id", "text", "grade").coalesce(1), run, "used binary, w binary, t binary").collect()
+    if not got:
+        return fit([], np.zeros(0, int), **options)
+    w = np.zeros(SIZE)
+    w[np.frombuffer(got[0].used, np.int32)] = np.frombuffer(got[0].w)
+    return w, np.frombuffer(got[0].t)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "text", least: float = 0.5, keep: list[str] | None = None) -> DataFrame:

@@ -194,6 +194,19 @@ def test_ordinal_held_out(spark):
     assert share[1, 0] > 0.93 and share[0, 0] < 0.05 and share[1, 1] < 0.3
 
 
+def test_ordinal_fits_off_the_driver(spark, sf, monkeypatch):
+    """The driver gets one row of weights and thresholds, those of a fit made here by hand, however many rows are labelled."""
+    docs, labels = (spark.read.parquet(f"{sf}/{x}.parquet") for x in ("documents", "labels"))
+    text, features = {r.doc_id: r.text or "" for r in docs.collect()}, ordinal.Features()
+    rated = sorted((r.doc_id, 0 if r.quality == 0 else 1 if r.toxic == 1 else 2) for r in labels.collect() if r.doc_id in text and None not in (r.quality, r.toxic))
+    want = ordinal.fit([(a.astype(np.int32), b.astype(np.float32)) for a, b in (features(text[i]) for i, _ in rated)], np.array([g for _, g in rated]), least_z=2)
+    asked, real = [], type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda self: asked.append(real(self)) or asked[-1])
+    w, t = ordinal.train(docs, labels, least_z=2)
+    assert len(rated) > 50 and np.count_nonzero(w) and np.array_equal(w, want[0]) and np.array_equal(t, want[1])
+    assert list(map(len, asked)) == [1] and sum(map(len, asked[0][0])) == 12 * np.count_nonzero(w) + t.nbytes
+
+
 def test_ordinal_edges(spark, edge, empty):
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (None, 1, 1), (5, None, 1), (6, 1, 1)], "doc_id long, quality int, toxic int")
     got = ordinal.rejected_removed(edge, labels)
