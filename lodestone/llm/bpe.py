@@ -6,6 +6,8 @@ compatible, i.e. merging their joined bytes gives just these two tokens. So the
 token at each position, keeps it if it is compatible with the one before, else tries the next shorter
 one, and steps back when none is left; a position that was left once is never tried again, which keeps the
 work linear. Pair decisions are memoised. Nothing is kept for a place but a byte, so long pre-tokens need little memory.
+Short pre-tokens that no memo knows pass the automaton together, joined by a character that no token has;
+one that meets an incompatible pair steps back from there.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
 import pyarrow as pa
@@ -22,8 +25,12 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, Stri
 
 from lodestone.llm.common import map_texts
 
-#: Entries of half a worker's memo of pre-tokens or pairs; a full half becomes the older one. Only speed depends on them.
-WORD_MEMO, PAIR_MEMO = 75_000, 250_000
+#: Token ids in half a worker's memo of pre-tokens, pairs in half that of pairs; a full half becomes the older one. Only speed depends on them.
+WORD_MEMO, PAIR_MEMO = 750_000, 250_000
+#: Longest pre-token, in characters, that is memoised and passes the automaton with others, and most pre-tokens looked up at once.
+SHORT, AT_ONCE = 64, 16_384
+#: Not a Latin-1 character, so no token goes across it.
+BORDER = "\u0100"
 
 
 def read_ranks(raw: bytes) -> dict[bytes, int]:
@@ -39,17 +46,20 @@ class Codec:
         self.tokens: dict[int, bytes] = {r: t for t, r in self.ranks.items()}
         self.find = regex.compile(pattern).findall
         self.automaton = ahocorasick.Automaton()
-        for t, r in self.ranks.items():
-            self.automaton.add_word(t.decode("latin-1"), (r, len(t)))
+        # a node's children are searched in the order they came: by rank, single bytes last, the frequent ones are first
+        for t in sorted(self.ranks, key=lambda t: (len(t) == 1, self.ranks[t])):
+            self.automaton.add_word(t.decode("latin-1"), self.ranks[t])
         self.automaton.make_automaton()
-        self.by_chars = {t.decode("latin-1"): r for t, r in self.ranks.items()}
+        self.leads = {t.decode("latin-1"): r for t, r in self.ranks.items()}  # and beginnings of tokens, once met, with their longest token
+        self.size = {r: len(t) for t, r in self.ranks.items()}
         self.most = max(map(len, self.ranks))
         self.prefixes: dict[int, int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
-        self.pairs: dict[int, bool] = {}
-        self.older_pairs: dict[int, bool] = {}
+        self.pairs: dict[int, int] = {}
+        self.older_pairs: dict[int, int] = {}
         self.words: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
+        self.held = 0
 
     def halves(self, token: int) -> tuple[int, int]:
         """The two tokens whose merge makes this one; a single byte gives itself twice."""
@@ -62,12 +72,22 @@ class Codec:
         out = self.parts[token] = (self.ranks[pieces[0]], self.ranks[pieces[-1]])
         return out
 
-    def compatible(self, left: int, right: int) -> bool:
-        """Whether encoding the joined bytes of two tokens gives these two tokens again."""
-        key = left << 32 | right
-        if (known := self.pairs.get(key)) is None:
-            if (known := self.older_pairs.get(key)) is None:
-                known = self._undo(left, right)
+    def fit(self, left: int, right: int) -> int:
+        """The longest of a token and its beginnings that may follow `left`, or -1.
+
+        Two tokens may follow each other if encoding their joined bytes gives these two again.
+        """
+        known, keys = right, []
+        while True:
+            keys.append(left << 32 | known)
+            if (met := self.pairs.get(keys[-1], self.older_pairs.get(keys[-1]))) is not None:
+                known = met
+            elif not self._undo(left, known):
+                known = self.shorter(known)
+                if known >= 0:
+                    continue
+            break
+        for key in keys:
             if len(self.pairs) >= PAIR_MEMO:
                 self.older_pairs, self.pairs = self.pairs, {}
             self.pairs[key] = known
@@ -105,20 +125,44 @@ class Codec:
         if (whole := self.ranks.get(raw)) is not None:
             return (whole,)
         chars = raw.decode("latin-1")
-        greedy = [r for _, (r, _) in self.automaton.iter_long(chars)]
-        last = greedy[0]
-        for t in greedy[1:]:
-            if not self.compatible(last, t):
-                return self._backtrack(chars)
-            last = t
-        return tuple(greedy)
+        return self._backtrack(chars, [], 0, self.longest(chars, 0)) if chars else ()
+
+    def short_words(self, pieces: list[str]) -> list[tuple[int, ...]]:
+        """Token ids of each pre-token; none may be empty."""
+        known, done = self.pairs.get, []
+        every = [p.encode().decode("latin-1") for p in pieces]
+        longest_first = self.automaton.iter_long(BORDER.join(every))
+        end = -1
+        for chars in every:
+            start, end = end + 1, end + len(chars)
+            at, r = next(longest_first)
+            out = [r]
+            while at < end:
+                last = r
+                at, r = next(longest_first)
+                if (fits := known(last << 32 | r)) is None:
+                    fits = self.fit(last, r)
+                if fits != r:
+                    here = at + 1 - self.size[r] - start
+                    while at < end:
+                        at, _ = next(longest_first)
+                    out = self._backtrack(chars, out, here, fits)
+                    break
+                out.append(r)
+            done.append(tuple(out))
+            end += 1
+        return done
 
     def longest(self, chars: str, at: int) -> int:
         """The longest token that begins at a place."""
-        found = chars[at : at + self.automaton.longest_prefix(chars[at : at + self.most])]
-        while (r := self.by_chars.get(found)) is None:  # the way to a longer token need not be one itself
-            found = found[:-1]
-        return r
+        rest = chars[at : at + self.most]
+        lead = rest[: self.automaton.longest_prefix(rest)]
+        if (known := self.leads.get(lead)) is None:  # the way to a longer token need not be one itself
+            shorter = lead[:-1]
+            while (known := self.leads.get(shorter)) is None:
+                shorter = shorter[:-1]
+            self.leads[lead] = known
+        return known
 
     def shorter(self, token: int) -> int:
         """The longest token that another one begins with, or -1."""
@@ -130,41 +174,61 @@ class Codec:
             self.prefixes[token] = known
         return known
 
-    def _backtrack(self, chars: str) -> tuple[int, ...]:
-        n, at, out, tokens = len(chars), 0, [], self.tokens
+    def _backtrack(self, chars: str, out: list[int], at: int, r: int) -> tuple[int, ...]:
+        """Token ids of a pre-token that begins with `out`, `at` bytes by the longest tokens; r: the longest that may follow, or -1."""
+        n, most, size, known, fit = len(chars), self.most, self.size, self.pairs.get, self.fit
+        reach, lead = self.automaton.longest_prefix, self.leads.get
         left_once = bytearray(n + 1)
-        r = self.longest(chars, 0)
         while at < n:
-            while r >= 0 and (left_once[at + len(tokens[r])] or (out and not self.compatible(out[-1], r))):
+            while r >= 0 and left_once[at + size[r]]:
                 r = self.shorter(r)
+                if out and r >= 0:
+                    r = fit(out[-1], r)
             if r >= 0:
                 out.append(r)
-                at += len(tokens[r])
+                at += size[r]
                 if at < n:
-                    r = self.longest(chars, at)
+                    rest = chars[at : at + most]
+                    if (longest := lead(rest[: reach(rest)])) is None:
+                        longest = self.longest(chars, at)
+                    last = r
+                    if (r := known(last << 32 | longest)) is None:
+                        r = fit(last, longest)
             else:
                 left_once[at] = 1
-                r = out.pop()
-                at -= len(tokens[r])
-                r = self.shorter(r)
+                r = out.pop()  # it leads to a place that was left, so a shorter one comes next
+                at -= size[r]
         return tuple(out)
 
+    def _learn(self, pieces: list[str]) -> dict[str, tuple[int, ...]]:
+        """Token ids of pre-tokens that the newer half of the memo lacks; the short ones enter it."""
+        found, new, long = {}, [], []
+        older = self.older.get
+        for p in dict.fromkeys(pieces):
+            if (known := older(p)) is not None:  # frequent pre-tokens come back from the older half
+                found[p] = known
+            else:
+                (new if 0 < len(p) <= SHORT else long).append(p)
+        found.update(zip(new, self.short_words(new), strict=True))
+        more = sum(map(len, found.values()))
+        if self.held + more > WORD_MEMO:
+            self.older, self.words, self.held = self.words, {}, 0
+        self.words.update(found)
+        self.held += more
+        for p in long:
+            found[p] = self.word(p)
+        return found
+
     def encode(self, text: str) -> list[int]:
-        words, ids = self.words, []
-        extend, get = ids.extend, words.get
-        for piece in self.find(text):
-            known = get(piece)
-            if known is None:
-                known = self.older.get(piece)
-                if known is None:
-                    known = self.word(piece)
-                if len(piece) <= 64:
-                    if len(words) >= WORD_MEMO:  # frequent pre-tokens come back from the older half
-                        self.older, self.words = words, {}
-                        words = self.words
-                        get = words.get
-                    words[piece] = known
-            extend(known)
+        every, ids = self.find(text), []
+        for i in range(0, len(every), AT_ONCE):
+            pieces = every[i : i + AT_ONCE]
+            known = list(map(self.words.get, pieces))
+            if unknown := [k for k, w in enumerate(known) if w is None]:
+                found = self._learn([pieces[k] for k in unknown])
+                for k in unknown:
+                    known[k] = found[pieces[k]]
+            ids.extend(chain.from_iterable(known))
         return ids
 
     def decode(self, ids: list[int]) -> bytes:

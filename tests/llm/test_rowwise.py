@@ -56,6 +56,36 @@ def test_bpe_equals_tiktoken(codec):
         assert codec.decode(ids) == t.encode()
 
 
+def test_bpe_new_words_share_a_pass(codec, monkeypatch):
+    """The automaton runs once a text over its short unknown pre-tokens, not once for each; memos that turn over change nothing."""
+
+    class Counted:
+        def __init__(self, inner):
+            self.inner, self.passes = inner, 0
+
+        def iter_long(self, chars):
+            self.passes += 1
+            return self.inner.iter_long(chars)
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+    rng = random.Random(11)
+    text = " ".join("".join(rng.choices(["tion", "th", "éê", "Ā", "日", "er", "ing", "q"], k=rng.randint(1, 9))) for _ in range(2000))
+    text += " " + "thingé" * 40 + " " + "a" * 64 + " " + "b" * 65 + "\n \x1c" + "=-" * 200
+    ref = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
+    own = bpe.Codec(open(RANKS, "rb").read(), public_tokenizers.PATTERN)
+    own.automaton = Counted(own.automaton)
+    assert own.encode(text) == ref.encode_ordinary(text)
+    assert own.automaton.passes == 1
+    monkeypatch.setattr(bpe, "WORD_MEMO", 300)
+    monkeypatch.setattr(bpe, "PAIR_MEMO", 50)
+    monkeypatch.setattr(bpe, "AT_ONCE", 40, raising=False)
+    for t in (text, text[::-1], text):
+        assert own.encode(t) == ref.encode_ordinary(t)
+    assert sum(map(len, own.words.values())) <= 300
+
+
 def test_bpe_edges(spark, edge, empty, codec):
     got = bpe.encode_texts(edge, RANKS, public_tokenizers.PATTERN, ids=True)
     assert [c for c in got.columns if c.lower() == "n_tokens"] == ["n_tokens"]  # the clashing one is replaced
