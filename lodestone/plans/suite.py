@@ -582,10 +582,10 @@ for _name, _terms, _query, _limit in (("or", "license reserved version", "Licens
     _in = ", ".join(f"'{t}'" for t in _terms.split())
     QUERIES[f"bm25_indexed_{_name}"], ORACLES[f"bm25_indexed_{_name}"] = _indexed, f"WITH {_POSTINGS}, {_bm25(f'term IN ({_in})')} SELECT key, score FROM sc ORDER BY score DESC, key LIMIT {_limit}"
 
-for _name, _query in (("prefix", "licen*"), ("phrase", '"apache license"')):
+for _name, _query, _limit in (("prefix", "licen*", 20), ("phrase", '"apache license"', 30)):
 
-    def _indexed(spark, d, _query=_query):
-        return _top(text_index.match(spark, _index(spark, d, ("text",)), _query), 20)
+    def _indexed(spark, d, _query=_query, _limit=_limit):
+        return _top(text_index.match(spark, _index(spark, d, ("text",)), _query), _limit)
 
     QUERIES[f"bm25_indexed_{_name}"], ORACLES[f"bm25_indexed_{_name}"] = _indexed, ORACLES[f"bm25_{_name}"]
 

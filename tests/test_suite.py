@@ -45,3 +45,15 @@ def test_partitions_change_nothing(spark, sf, name):
         assert run(1) == run(7)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
+@pytest.mark.parametrize("name", ["bm25_phrase", "bm25_prefix", "bm25_indexed_phrase", "bm25_indexed_prefix"])
+def test_pages_as_long_as_in_sql(spark, tmp_path, name):
+    """More matches than a page holds, which sf0.001 lacks."""
+    docs = [(k, " ".join(["apache license"] * (k % 3 + 1) + ["word"] * k), "en", "src1") for k in range(45)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(suite.ORACLES[name]).fetchall()
+    assert len(want) == (30 if name.endswith("phrase") else 20)
+    assert [tuple(r) for r in suite.QUERIES[name](spark, str(tmp_path)).select("key", "score").collect()] == want
