@@ -320,9 +320,15 @@ def render_interval(iv: Column) -> Column:
     return F.concat_ws(" ", named(years, "year", "years"), named(months, "mon", "mons"), named(d, "day", "days"), F.when((u != 0) | ((m == 0) & (d == 0)), clock))
 
 
-# Template words of to_char and codes of date_format, and Spark's pattern of each.
-_CHAR = {"YYYY": "yyyy", "YY": "yy", "MM": "MM", "DD": "dd", "HH24": "HH", "HH12": "hh", "MI": "mm", "SS": "ss", "MS": "SSS", "US": "SSSSSS", "Mon": "MMM", "AM": "a", "PM": "a"}
-_PERCENT = {"Y": "yyyy", "m": "MM", "d": "dd", "H": "HH", "i": "mm", "s": "ss", "M": "MMMM", "b": "MMM", "p": "a", "f": "SSSSSS"}
+def year_text(ts: Column) -> Column:
+    """As DuckDB's %Y: four digits at least, no plus from 10000 on; 1 BC is 0000, 2 BC is -1."""
+    y = F.year(ts)
+    return F.when(y.between(0, 9999), F.lpad(y.cast("string"), 4, "0")).otherwise(y.cast("string"))
+
+
+# Template words of to_char and codes of date_format, and Spark's pattern of each. Years of four digits are year_text().
+_CHAR = {"YY": "yy", "MM": "MM", "DD": "dd", "HH24": "HH", "HH12": "hh", "MI": "mm", "SS": "ss", "MS": "SSS", "US": "SSSSSS", "Mon": "MMM", "AM": "a", "PM": "a"}
+_PERCENT = {"m": "MM", "d": "dd", "H": "HH", "i": "mm", "s": "ss", "M": "MMMM", "b": "MMM", "p": "a", "f": "SSSSSS"}
 
 
 def to_char(ts: Column, template: str) -> Column:
@@ -332,6 +338,8 @@ def to_char(ts: Column, template: str) -> Column:
         w, at = m[0], m.end()
         if w == "Month":
             out.append(F.rpad(F.date_format(ts, "MMMM"), 9, " "))
+        elif w == "YYYY":
+            out.append(year_text(ts))
         elif w in _CHAR:
             out.append(F.date_format(ts, _CHAR[w]))
         elif w[0].isalpha():
@@ -349,6 +357,8 @@ def date_format(ts: Column, template: str) -> Column:
             out.append(F.lit(m[0]))
         elif m[1] == "%":
             out.append(F.lit("%"))
+        elif m[1] == "Y":
+            out.append(year_text(ts))
         elif m[1] in _PERCENT:
             out.append(F.date_format(ts, _PERCENT[m[1]]))
         else:

@@ -57,3 +57,16 @@ def test_pages_as_long_as_in_sql(spark, tmp_path, name):
     want = con.execute(suite.ORACLES[name]).fetchall()
     assert len(want) == (30 if name.endswith("phrase") else 20)
     assert [tuple(r) for r in suite.QUERIES[name](spark, str(tmp_path)).select("key", "score").collect()] == want
+
+
+@pytest.mark.parametrize("name", ["scalar_mysql_dates", "scalar_to_char"])
+def test_years_of_any_length(spark, tmp_path, name):
+    """Keys are days since 1970: years before 1, below 1000 and from 10000 on."""
+    days = [0, -1, 2932896, 2932897, 8999999, 106751990, -700000, -719162, -719163, -719528, -719529, -800000, -10000000, -106000000]
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    con.execute(f"CREATE TABLE orders AS SELECT unnest({days})::BIGINT AS o_orderkey, make_timestamp(o_orderkey * 86400000000 + 3723000000) AS o_orderdate UNION ALL SELECT 7, NULL")
+    con.execute(f"COPY orders TO '{tmp_path}/orders.parquet' (FORMAT parquet)")
+    df = suite.QUERIES[name](spark, str(tmp_path))
+    cursor = con.execute(suite.ORACLES[name])
+    assert rows(df.collect(), df.columns) == rows(cursor.fetchall(), [c[0] for c in cursor.description])
